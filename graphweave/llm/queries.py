@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.llm import confusables, language, leakage, neighbours, ocr, splitting, tokenizer
+from graphweave.llm import confusables, language, leakage, names, neighbours, ocr, splitting, tokenizer
 from graphweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.same_names(table(spark, sf, "entities"), table(spark, sf, "relationships"))
+
+
+def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The cluster of every entity row that names a person or an organisation."""
+    return names.linked(table(spark, sf, "entities"), table(spark, sf, "relationships"))[0]
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.wrong_languages(table(spark, sf, "documents"), table(spark, sf, "document_metadata"), table(spark, sf, "lang_samples"))
 
