@@ -133,21 +133,22 @@ def folded(edges: DataFrame, order: list[str]) -> DataFrame:
     """One edge for each source, target and type. Weights are averaged one after the other in the given order, as a
     running mean of old and new; the longest description, the first among equals, stays.
 
-    The fold is exact without a sequence in one task: weight i of n counts 2 to the power of i - n - 1, the first twice
-    that, and what lies 60 places behind the last no longer changes a double.
+    Such a mean counts the last weight half, the one before a quarter and so on, the first as much as the second: what lies
+    60 places behind the last changes no double. So each task keeps 60 rows of a key at most, however many edges it has.
     """
     keys = ["source_entity", "target_entity", "relation_type"]
-    place = Window.partitionBy(*keys).orderBy(*order)
-    rows = edges.withColumns({"_i": F.row_number().over(place), "_n": F.count("*").over(Window.partitionBy(*keys))})
-    share = F.pow(F.lit(2.0), F.when(F.col("_i") == 1, F.lit(1)).otherwise(F.lit(0)) + F.col("_i") - F.col("_n") - 1)
-    chunks = rows.select(*keys, F.explode(_listed("source_chunk_ids")).alias("chunk")).distinct()
-    whole = rows.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_n") - F.col("_i") < 60, F.col("weight") * share)).alias("weight"),
-        F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col("_i"))).alias("description"),
+    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    total = edges.groupBy(*keys).agg(
         F.count("*").alias("mentions"),
-    )
+        F.min_by("description", F.struct(-F.length(F.coalesce("description", F.lit(""))), *order)).alias("description"),
+    )
+    late = edges.select(*keys, *order, "weight").withColumn("_j", F.row_number().over(back)).where("_j <= 60").select(*keys, "_j", "weight")
+    late = late.join(total.select(*keys, "mentions"), keys)
+    share = F.pow(F.lit(0.5), F.col("_j") - F.when(F.col("_j") == F.col("mentions"), 1).otherwise(0))
+    weight = late.groupBy(*keys).agg(F.sum(F.col("weight") * share).alias("weight"))
+    chunks = edges.select(*keys, F.explode(_listed("source_chunk_ids")).alias("chunk")).distinct()
     held = chunks.groupBy(*keys).agg(F.array_sort(F.collect_set("chunk")).alias("source_chunk_ids"))
-    return whole.join(held, keys, "left").withColumn("source_chunk_ids", _listed("source_chunk_ids"))
+    return total.join(weight, keys).join(held, keys, "left").withColumn("source_chunk_ids", _listed("source_chunk_ids"))
 
 
 def orphans(entities: DataFrame, edges: DataFrame) -> DataFrame:
