@@ -105,8 +105,8 @@ def force_split(text: str, size: int) -> list[str]:
     return [x for x in (text[a:b].strip() for a, b in zip(cuts, cuts[1:])) if x]
 
 
-def packed(rows: DataFrame, size: int, overlap: int, key: str = "doc_id") -> DataFrame:
-    """``key, section_no, part_no, text, first_unit`` from units; units over the size are cut first.
+def packed(rows: DataFrame, size: int, overlap: int, key: str = "doc_id", cut: bool = True) -> DataFrame:
+    """``key, section_no, part_no, text, first_unit`` from units; with ``cut`` units over the size are cut first.
 
     A section is one row here, an array of its sentences, so packing is a projection; it goes to Python by Arrow.
     """
@@ -122,7 +122,7 @@ def packed(rows: DataFrame, size: int, overlap: int, key: str = "doc_id") -> Dat
             for k, section, parts in zip(frame[key], frame["section_no"], frame["units"]):
                 flat = []
                 for u in parts:
-                    flat += [(u["unit"], u["tokens"])] if u["tokens"] <= size else [(x, len(_JAVA_TOKEN.findall(x))) for x in force_split(u["unit"], size)]
+                    flat += [(u["unit"], u["tokens"])] if u["tokens"] <= size or not cut else [(x, len(_JAVA_TOKEN.findall(x))) for x in force_split(u["unit"], size)]
                 for n, (a, b) in enumerate(pack([t for _, t in flat], size, overlap)):
                     out.append((k, section, n, "\n".join(x for x, _ in flat[a:b]), flat[a][0]))
             yield pd.DataFrame(out, columns=[key, "section_no", "part_no", "text", "first_unit"])
