@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space, word characters and digits as sets that Java and RE2 both read as Unicode.
 WS = r"[\s\x0B\x{85}\p{Z}]"
@@ -34,7 +35,7 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

@@ -50,13 +50,12 @@ def tidy(text: Column) -> Column:
     return strip(text)
 
 
-def clean_text(text: Column, compose: bool = True) -> Column:
-    """All steps in their order; without ``compose`` the first one, compatibility composition, is left out."""
-    text = drop_control(nfkc(text) if compose else text)
-    text = F.translate(join_hyphenated(text), "\t", " ")
+def clean_composed(text: Column) -> Column:
+    """All steps in their order but the first, compatibility composition."""
+    text = F.translate(join_hyphenated(drop_control(text)), "\t", " ")
     return tidy(drop_repeated_lines(drop_page_numbers(drop_headers(text))))
 
 
-def clean(documents: DataFrame, compose: bool = True) -> DataFrame:
-    """``documents`` with the cleaned ``text``."""
-    return documents.withColumn("text", clean_text(F.col("text"), compose))
+def clean(documents: DataFrame) -> DataFrame:
+    """``documents`` with the cleaned ``text``; composition comes as a column of its own, since it may need Python."""
+    return documents.withColumn("text", nfkc(F.col("text"))).withColumn("text", clean_composed(F.col("text")))

@@ -35,7 +35,12 @@ def voted_language(text: Column) -> Column:
     """The language whose small words are most frequent among the first 2,000 characters' words; ``en`` if none occurs.
     Ties go to the first code in the alphabet. A baseline without a model; the profiles of the extension do better."""
     words = F.split(F.lower(F.substring(text, 1, 2000)), r"[^\p{L}]+")
-    votes = [F.struct(F.size(F.filter(words, lambda w, s=small.split(): w.isin(*s))).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, small) in enumerate(sorted(SMALL_WORDS.items()))]
+
+    def votes_for(place: int, code: str) -> Column:
+        small = SMALL_WORDS[code].split()
+        return F.struct(F.size(F.filter(words, lambda w: w.isin(*small))).alias("n"), F.lit(-place).alias("i"), F.lit(code).alias("code"))
+
+    votes = [votes_for(i, code) for i, code in enumerate(sorted(SMALL_WORDS))]
     best = F.greatest(*votes)
     return F.when(best["n"] > 0, best["code"]).otherwise("en")
 

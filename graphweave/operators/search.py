@@ -28,11 +28,11 @@ def keywords(question: Column) -> Column:
     """One, two and three words in a row of a question without stop words, each spelling once, in order."""
     tokens = F.regexp_extract_all(question, F.lit(r"[a-zA-Z0-9_'-]+"), F.lit(0))
     kept = F.filter(tokens, lambda t: ~F.lower(t).isin(STOP_WORDS) & (F.length(t) > 1))
-    spans = [
-        F.filter(F.transform(kept, lambda _, i, n=n: F.array_join(F.slice(kept, i + 1, n), " ")), lambda _, i, n=n: i <= F.size(kept) - n)
-        for n in (1, 2, 3)
-    ]
-    every = F.concat(*spans)
+
+    def spans(n: int) -> Column:
+        return F.filter(F.transform(kept, lambda _, i: F.array_join(F.slice(kept, i + 1, n), " ")), lambda _, i: i <= F.size(kept) - n)
+
+    every = F.concat(spans(1), spans(2), spans(3))
     lower = F.transform(every, F.lower)
     return F.filter(every, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 
@@ -86,7 +86,10 @@ def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = 10) -> Data
             out.append((np.repeat(who[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
         return pa.table({n: np.concatenate(c) for n, c in zip(("question_id", "entity_id", "score"), zip(*out))})
 
-    met = base.groupBy("share", "block", "width").cogroup(asked.groupBy("q_share", "q_block", "q_width"))
+    keys, parts = ("share", "block", "width"), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked_keys = [f"q_{x}" for x in keys]
+    # both sides in the same number of partitions, which adaptive execution then leaves as it is
+    met = base.repartition(parts, *keys).groupBy(*keys).cogroup(asked.repartition(parts, *asked_keys).groupBy(*asked_keys))
     found = met.applyInArrow(score, "question_id bigint, entity_id bigint, score double")
     n = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "entity_id"))
     return found.withColumn("n", n).where(F.col("n") <= k).drop("n")

@@ -109,11 +109,11 @@ def _units() -> str:
     text = rf"""regexp_replace(regexp_replace(piece, '([.!?]){WS}+([A-Z])', '\1' || chr(1) || '\2', 'g'), '\n\n', chr(10) || chr(10) || chr(1), 'g')"""
     return rf"""{LINES}, runs AS (
   SELECT doc_id, pos, line, {table} AS tab, pos - row_number() OVER (PARTITION BY doc_id, {table} ORDER BY pos) AS run FROM rows),
-pieces AS (SELECT doc_id, tab, min(pos) AS at, string_agg(line, chr(10) ORDER BY pos) AS piece FROM runs GROUP BY doc_id, tab, run),
-cut AS (SELECT doc_id, at, unnest(CASE WHEN tab THEN [piece] ELSE string_split({text}, chr(1)) END) AS unit,
+pieces AS (SELECT doc_id, tab, min(pos) AS pos0, string_agg(line, chr(10) ORDER BY pos) AS piece FROM runs GROUP BY doc_id, tab, run),
+cut AS (SELECT doc_id, pos0, unnest(CASE WHEN tab THEN [piece] ELSE string_split({text}, chr(1)) END) AS unit,
                generate_subscripts(CASE WHEN tab THEN [piece] ELSE string_split({text}, chr(1)) END, 1) AS k FROM pieces),
-units AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY at, k) - 1)::INT AS unit_no, u AS unit, {tokens('u')}::INT AS tokens
-          FROM (SELECT doc_id, at, k, {strip('unit')} AS u FROM cut) WHERE u <> '')"""
+units AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos0, k) - 1)::INT AS unit_no, u AS unit, {tokens('u')}::INT AS tokens
+          FROM (SELECT doc_id, pos0, k, {strip('unit')} AS u FROM cut) WHERE u <> '')"""
 
 
 def _keywords(x: str) -> str:
@@ -234,8 +234,8 @@ def sql() -> dict[str, str]:
         "score_fusion": f"""WITH {SEEDS}, {VECTOR}, {EXACT}, {FUZZY}, every AS (SELECT question_id, name, score AS g, 0.0::DOUBLE AS v FROM exact UNION ALL SELECT question_id, name, score, 0.0 FROM fuzzy10
             UNION ALL SELECT question_id, e.name, 0.0, score FROM vector JOIN entities e USING (entity_id))
           SELECT question_id, name, max(g) AS graph_score, max(v) AS vector_score, round(max(g) * 0.6 + max(v) * 0.4, 6) AS combined_score FROM every GROUP BY question_id, name""",
-        "neighbours_1hop": f"""WITH {SEEDS}, {EDGES}, both AS (SELECT source_entity AS a, target_entity AS b FROM edges UNION SELECT target_entity, source_entity FROM edges)
-          SELECT DISTINCT question_id, b AS name FROM seeds JOIN both ON a = name WHERE b IS NOT NULL AND (question_id, b) NOT IN (SELECT (question_id, name) FROM seeds)""",
+        "neighbours_1hop": f"""WITH {SEEDS}, {EDGES}, ways AS (SELECT source_entity AS a, target_entity AS b FROM edges UNION SELECT target_entity, source_entity FROM edges)
+          SELECT DISTINCT question_id, b AS name FROM seeds JOIN ways ON a = name WHERE b IS NOT NULL AND (question_id, b) NOT IN (SELECT (question_id, name) FROM seeds)""",
         "incident_edges": f"WITH {SEEDS}, {EDGES} SELECT DISTINCT question_id, rel_id FROM seeds JOIN edges ON name = source_entity OR name = target_entity",
         "connected_chunks": f"WITH {SEEDS}, {CHUNKS}, {PROVENANCE} SELECT DISTINCT question_id, chunk_id FROM seeds JOIN provenance ON name = entity_name",
         "chunk_expand": f"""WITH {SEEDS}, {CHUNKS}, {PROVENANCE}, {LINKS}, found AS (SELECT DISTINCT question_id, chunk_id FROM seeds JOIN provenance ON name = entity_name),
