@@ -11,11 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphweave.llm.textnorm import PLAIN, skeleton
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _skeleton_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([skeleton(x) for x in batch.to_pylist()], pa.string())

@@ -203,8 +203,10 @@ def nearest(entities: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         F.expr("cast(pmod(xxhash64(rep), shares) as int)").alias("q_share"), F.col("rep").alias("q_rep"), F.col("vec").alias("q_vec"),
     )
     keys = ["list", "part", "share"]
-    asking = queries.groupBy(*(f"q_{x}" for x in keys))
-    found = members.groupBy(*keys).cogroup(asking).applyInArrow(_search(books, k), "rep bigint, other bigint, similarity double")
+    # both sides in the same number of partitions, which adaptive execution then leaves as it is
+    parts, q_keys = int(spark.conf.get("spark.sql.shuffle.partitions")), [f"q_{x}" for x in keys]
+    asking = queries.repartition(parts, *q_keys).groupBy(*q_keys)
+    found = members.repartition(parts, *keys).groupBy(*keys).cogroup(asking).applyInArrow(_search(books, k), "rep bigint, other bigint, similarity double")
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     near = found.groupBy("rep").agg(F.collect_list(F.struct("other", "similarity")).alias("near"))
