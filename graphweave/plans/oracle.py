@@ -231,9 +231,9 @@ def sql() -> dict[str, str]:
         "vector_topk": f"WITH {SEEDS}, {VECTOR} SELECT * FROM vector",
         "exact_match": f"WITH {SEEDS}, {EXACT} SELECT * FROM exact",
         "fuzzy_match": f"WITH {SEEDS}, {FUZZY} SELECT * FROM fuzzy10",
-        "score_fusion": f"""WITH {SEEDS}, {VECTOR}, {EXACT}, {FUZZY}, every AS (SELECT question_id, name, score AS g, 0.0::DOUBLE AS v FROM exact UNION ALL SELECT question_id, name, score, 0.0 FROM fuzzy10
+        "score_fusion": f"""WITH {SEEDS}, {VECTOR}, {EXACT}, {FUZZY}, hits AS (SELECT question_id, name, score AS g, 0.0::DOUBLE AS v FROM exact UNION ALL SELECT question_id, name, score, 0.0 FROM fuzzy10
             UNION ALL SELECT question_id, e.name, 0.0, score FROM vector JOIN entities e USING (entity_id))
-          SELECT question_id, name, max(g) AS graph_score, max(v) AS vector_score, round(max(g) * 0.6 + max(v) * 0.4, 6) AS combined_score FROM every GROUP BY question_id, name""",
+          SELECT question_id, name, max(g) AS graph_score, max(v) AS vector_score, round(max(g) * 0.6 + max(v) * 0.4, 6) AS combined_score FROM hits GROUP BY question_id, name""",
         "neighbours_1hop": f"""WITH {SEEDS}, {EDGES}, ways AS (SELECT source_entity AS a, target_entity AS b FROM edges UNION SELECT target_entity, source_entity FROM edges)
           SELECT DISTINCT question_id, b AS name FROM seeds JOIN ways ON a = name WHERE b IS NOT NULL AND (question_id, b) NOT IN (SELECT (question_id, name) FROM seeds)""",
         "incident_edges": f"WITH {SEEDS}, {EDGES} SELECT DISTINCT question_id, rel_id FROM seeds JOIN edges ON name = source_entity OR name = target_entity",

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` under ``sf_dir``."""
+    """The parquet table ``name`` under ``sf_dir``.
+
+    Spark 4.1 can plan a union as partitioned like its parts; after adaptive coalescing these may differ in number, and the
+    job fails. That option is switched off for the session.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
