@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.functions.text import WORD, WS, lines, nfkc, strip
+from graphweave.functions.text import WORD, WS, let, lines, nfkc, strip
 
 # What the cleaning steps look for.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -37,10 +37,18 @@ def drop_repeated_lines(text: Column, most: int = REPEATS) -> Column:
 
     A line is repeated if it stands ``most`` places further in the sorted lines as well: no shuffle, no nested loop.
     """
-    ordered = F.array_sort(F.filter(F.transform(lines(text), strip), lambda x: x != ""))
-    shifted = F.slice(ordered, most + 1, F.greatest(F.size(ordered), F.lit(1)))
-    often = F.array_distinct(F.filter(F.zip_with(ordered, shifted, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
-    return F.array_join(F.filter(lines(text), lambda x: ~F.array_contains(often, strip(x))), "\n")
+
+
+    def often(ordered: Column) -> Column:
+        shifted = F.slice(ordered, most + 1, F.greatest(F.size(ordered), F.lit(1)))
+        return F.array_distinct(F.filter(F.zip_with(ordered, shifted, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+
+    def kept(every: Column) -> Column:
+        ordered = F.array_sort(F.filter(F.transform(every, strip), lambda x: x != ""))
+        without = lambda bad: F.when(F.size(bad) == 0, every).otherwise(F.filter(every, lambda x: ~F.array_contains(bad, strip(x))))
+        return let(let(ordered, often), without)
+
+    return F.array_join(let(lines(text), kept), "\n")
 
 
 def tidy(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.functions.text import lines, strip, word_count
+from graphweave.functions.text import let, lines, strip, word_count
 
 # The commonest small words of the languages that the vote tells apart.
 SMALL_WORDS = {
@@ -34,15 +34,17 @@ def inferred_title(text: Column) -> Column:
 def voted_language(text: Column) -> Column:
     """The language whose small words are most frequent among the first 2,000 characters' words; ``en`` if none occurs.
     Ties go to the first code in the alphabet. A baseline without a model; the profiles of the extension do better."""
-    words = F.split(F.lower(F.substring(text, 1, 2000)), r"[^\p{L}]+")
 
-    def votes_for(place: int, code: str) -> Column:
-        small = SMALL_WORDS[code].split()
-        return F.struct(F.size(F.filter(words, lambda w: w.isin(*small))).alias("n"), F.lit(-place).alias("i"), F.lit(code).alias("code"))
 
-    votes = [votes_for(i, code) for i, code in enumerate(sorted(SMALL_WORDS))]
-    best = F.greatest(*votes)
-    return F.when(best["n"] > 0, best["code"]).otherwise("en")
+    def best(start: Column) -> Column:
+        votes = []
+        for place, code in enumerate(sorted(SMALL_WORDS)):
+            whole = rf"(?<!\p{{L}})(?:{SMALL_WORDS[code].replace(' ', '|')})(?!\p{{L}})"
+            votes.append(F.struct(F.regexp_count(start, F.lit(whole)).alias("n"), F.lit(-place).alias("i"), F.lit(code).alias("code")))
+        return F.greatest(*votes)
+
+    top = let(F.lower(F.substring(text, 1, 2000)), best)
+    return F.when(top["n"] > 0, top["code"]).otherwise("en")
 
 
 def enrich(documents: DataFrame) -> DataFrame:

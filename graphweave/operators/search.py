@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.functions.text import strip
+from graphweave.functions.text import let, strip
 
 # Words that are no keywords.
 STOP_WORDS = """a an the is are was were be been being have has had do does did will would could should may might shall can need must
@@ -29,12 +29,13 @@ def keywords(question: Column) -> Column:
     tokens = F.regexp_extract_all(question, F.lit(r"[a-zA-Z0-9_'-]+"), F.lit(0))
     kept = F.filter(tokens, lambda t: ~F.lower(t).isin(STOP_WORDS) & (F.length(t) > 1))
 
-    def spans(n: int) -> Column:
-        return F.filter(F.transform(kept, lambda _, i: F.array_join(F.slice(kept, i + 1, n), " ")), lambda _, i: i <= F.size(kept) - n)
+    def spans(words: Column, n: int) -> Column:
+        return F.filter(F.transform(words, lambda _, i: F.array_join(F.slice(words, i + 1, n), " ")), lambda _, i: i <= F.size(words) - n)
 
-    every = F.concat(spans(1), spans(2), spans(3))
-    lower = F.transform(every, F.lower)
-    return F.filter(every, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    def once(every: Column) -> Column:
+        return let(F.transform(every, F.lower), lambda lower: F.filter(every, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1))
+
+    return let(let(kept, lambda words: F.concat(spans(words, 1), spans(words, 2), spans(words, 3))), once)
 
 
 def intent(question: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphweave.config import EngineConfig
 from graphweave.operators import chunking, clean, context, graph, metadata, resolve, search, validate
+from graphweave.session import checkpointed
 
 
 def ingest_chunks(documents: DataFrame, config: EngineConfig | None = None) -> dict[str, DataFrame]:
@@ -40,11 +41,12 @@ def ask(questions: DataFrame, entities: DataFrame, edges: DataFrame, chunks: Dat
     has ``source_entity, label, target_entity, description``, ``chunks`` has ``chunk_id, text, source_file``.
     """
     config = config or EngineConfig()
-    vector = search.vector_top_k(questions, entities, config.top_k).join(entities.select("entity_id", "name"), "entity_id")
+    # hits are few, k a question, and four steps start from them
+    vector = checkpointed(search.vector_top_k(questions, entities, config.top_k).join(entities.select("entity_id", "name"), "entity_id"))
     exact = search.exact_matches(vector.select("question_id", F.col("name").alias("wanted")), entities)
     asked = vector.select("question_id", F.col("name").alias("keyword"))
     fuzzy = search.fuzzy_matches(asked, entities, config.top_k)
-    hits = search.fused(exact.union(fuzzy), vector, config.graph_weight, config.vector_weight)
+    hits = checkpointed(search.fused(exact.union(fuzzy), vector, config.graph_weight, config.vector_weight))
     near = search.neighbours(hits, edges).select("question_id", "name", F.lit(0.0).alias("combined_score"))
     told = hits.select("question_id", "name", "combined_score").union(near).join(entities.select("name", "type", "description"), "name")
     found = search.connected_chunks(hits, graph.extracted_from(entities, chunks))
