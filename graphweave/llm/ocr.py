@@ -244,3 +244,66 @@ def noise(chunks: DataFrame) -> DataFrame:
     }
     rows = [df.select("chunk_id", F.lit(kind).alias("noise")) for kind, df in kinds.items()]
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).distinct()
+
+
+def repair_text(text: str, hierarchy: list[str], drop: set[int], joins: dict[int, bool], words: dict[int, list[tuple[str, str]]]) -> str:
+    """The text without the lines in ``drop``, its wrapped lines joined into paragraphs.
+
+    ``joins`` has the lines that continue a broken word, and whether the mark before them goes; ``words`` has the
+    corrections of each line, which keep the case. A text whose lines are no wrapped prose only loses dropped lines.
+    """
+    parsed = Lines(text, hierarchy)
+    out: list[str] = []
+    fresh = True
+    for i, (line, role) in enumerate(zip(parsed.lines, parsed.role)):
+        if i in drop:
+            continue
+        for wrong, right in words.get(i, []):
+            line = re.sub(rf"(?<![^\W_]){re.escape(wrong)}(?![^\W_])", lambda m, r=right: r.capitalize() if m[0][:1].isupper() else r, line, flags=re.I)
+        whole = role in ("blank", "prefix") or not parsed.wrapped or bool(_BODY.match(line))
+        if whole or fresh or not out:
+            out.append(line)
+        elif i in joins:
+            held = out[-1].rstrip()
+            out[-1] = (held[:-1] if joins[i] and held[-1:] in _MARKS else held) + line.lstrip()
+        else:
+            out[-1] = out[-1].rstrip() + " " + line.lstrip()
+        fresh = whole
+    return "\n".join(out)
+
+
+def repaired(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, text``: every chunk once, its noise repaired: headers and page numbers removed, broken words joined,
+    misread words corrected, wrapped lines joined into paragraphs. A chunk's edits are one row beside its text."""
+    found = notes(chunks)
+    vocabulary = checkpointed(_vocabulary(found))
+    head = headers(found)
+    broken = broken_words(found, vocabulary).select("chunk_id", "line").distinct().withColumn("gone", F.lit("1"))
+    breaks = found.where("kind = 'break'").select("chunk_id", "line").distinct().join(broken, ["chunk_id", "line"], "left")
+    misread = found.where("kind = 'word'").select("chunk_id", "line", F.col("a").alias("word")).join(corrections(found, vocabulary), "word")
+    none = F.lit(None).cast("string")
+    edits = (
+        head.union(found.where("kind = 'page'").select("chunk_id", "line")).select("chunk_id", "line", F.lit("drop").alias("what"), none.alias("a"), none.alias("b"))
+        .union(breaks.select("chunk_id", "line", F.lit("join"), "gone", none))
+        .union(misread.select("chunk_id", "line", F.lit("word"), "word", "correct"))
+    )
+    edits = edits.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("line", "what", "a", "b"))).alias("edits"))
+    row = F.max_by(F.struct("text", "heading_hierarchy"), F.struct("text", "heading_hierarchy")).alias("row")
+    once = chunks.where("text is not null").groupBy("chunk_id").agg(row).select("chunk_id", "row.*").join(edits, "chunk_id", "left")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, hierarchy, own in zip(*(batch.column(n).to_pylist() for n in ("text", "heading_hierarchy", "edits"))):
+                drop, joins, words = set(), {}, {}
+                for e in own or []:
+                    if e["what"] == "drop":
+                        drop.add(e["line"])
+                    elif e["what"] == "join":
+                        joins[e["line"]] = e["a"] is not None
+                    else:
+                        words.setdefault(e["line"], []).append((e["a"], e["b"]))
+                texts.append(repair_text(text, hierarchy or [], drop, joins, words))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(texts, pa.string())], names=["chunk_id", "text"])
+
+    return once.mapInArrow(work, "chunk_id string, text string")

@@ -55,6 +55,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return ocr.noise(table(spark, sf, "chunks"))
 
 
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The repaired text of every chunk."""
+    return ocr.repaired(table(spark, sf, "chunks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_documents(table(spark, sf, "documents"))
 
@@ -72,6 +77,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return confusables.look_alike_pairs(table(spark, sf, "documents"))
 
 
+def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The consistent form of every text."""
+    return table(spark, sf, "documents").select("doc_id", confusables.skeleton_column(F.col("text")).alias("form"))
+
+
 def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
     """The class of equal look of every document."""
     return confusables.classes(table(spark, sf, "documents"))

@@ -207,4 +207,7 @@ def test_noise(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "file_hash string, chunk_id string, text string, heading_hierarchy array<string>, noise string")
     assert {tuple(r) for r in ocr.noise(df).collect()} == {("c1", "hyphen"), ("c1", "header"), ("c1", "pageno"), ("c1", "misread")}
     assert ocr.noise(df.limit(0)).count() == 0
+    texts = {r.chunk_id: r.text for r in ocr.repaired(df).collect()}
+    assert texts["c1"] == "[Manual > Part]\nThe field team collects samples from the lower basin before the morning handover and the crew of the lower basin collects the samples for the field team before the morning low-power handover and the crew of basin"
+    assert texts["c2"] == digital and texts["c4"] == "" and "c3" not in texts
     assert ocr.fold_line("12 | Frcight Report") == ocr.fold_line("Freight Report   3") and ocr.fold_line("© 2006 A") == ocr.fold_line("© 2007 A")
