@@ -34,7 +34,8 @@ MOST_MEMBERS, MOST_QUERIES = 4_000, 40_000
 
 
 def _nearest(points: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return (points @ words.T - 0.5 * (words**2).sum(1)).argmax(1)
+    half = 0.5 * (words**2).sum(1)
+    return np.concatenate([(points[at : at + 2048] @ words.T - half).argmax(1) for at in range(0, max(1, len(points)), 2048)])
 
 
 def _k_means(points: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 10) -> np.ndarray:
