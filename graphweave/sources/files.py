@@ -15,7 +15,7 @@ DOCUMENT = "source_file string, file_hash string, text string, title string, aut
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """The ``.md`` files under ``path``, of any case, as ``source_file, file_hash, text``; one read gives text and hash.
-    An empty file has an empty text."""
+    Spark lists no file of zero bytes, so an empty file gives no row; it would give no chunk either."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,MD,Md,mD}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("source_file"), F.sha2("content", 256).alias("file_hash"), F.coalesce(F.decode("content", "UTF-8"), F.lit("")).alias("text"))
