@@ -96,6 +96,11 @@ def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = 10) -> Data
     return found.withColumn("n", n).where(F.col("n") <= k).drop("n")
 
 
+def index_score(cosine: Column) -> Column:
+    """The score in [0, 1] that vector indexes give for a cosine."""
+    return (1 + cosine) / 2
+
+
 def exact_matches(wanted: DataFrame, entities: DataFrame) -> DataFrame:
     """``question_id, name, score``: entities with a wanted name, as name or alias, by equality of the lower case."""
     spelled = entities.select("name", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("s"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.config import EngineConfig
-from graphweave.operators import chunking, clean, context, graph, metadata, resolve, search, validate
+from graphweave.operators import chunking, clean, context, graph, mentions, metadata, resolve, search, validate
+from graphweave.plugins import embed, hashed_words
 from graphweave.session import checkpointed
 
 
@@ -19,6 +22,27 @@ def ingest_chunks(documents: DataFrame, config: EngineConfig | None = None) -> d
     return {"documents": cleaned, "chunks": kept, "part_of": graph.part_of(kept, cleaned), "next_chunk": graph.next_chunk(kept)}
 
 
+def ingest(documents: DataFrame, extractor: Callable[[str, str], str], embedder: Callable[[str], list[float]] = hashed_words, config: EngineConfig | None = None) -> dict[str, DataFrame]:
+    """The full ingest: chunks, an extractor's mentions, resolved and embedded entities, folded edges and the graph's tables.
+
+    Replies are written to the checkpoint folder, so that no step asks the extractor twice. Chunks whose extraction failed
+    stay, with their ``error`` in the table ``replies``. Mentions are ordered by document, chunk and place in the reply.
+    """
+    tables = ingest_chunks(documents, config or EngineConfig.full_ingest())
+    chunks = checkpointed(tables["chunks"])
+    replies = checkpointed(mentions.extract(chunks, extractor))
+    place = chunks.select("chunk_id", (F.shiftleft(F.pmod(F.xxhash64("file_hash"), F.lit(1 << 20)), 40) + F.shiftleft(F.col("chunk_index").cast("bigint"), 16)).alias("at"))
+
+    def ordered(found: DataFrame) -> DataFrame:
+        found = found.join(place, "chunk_id").withColumn("pos", F.col("at") + F.col("pos")).drop("at")
+        return found.withColumn("source_chunk_ids", F.array("chunk_id"))
+
+    graph_tables = resolve_graph(ordered(mentions.entity_mentions(replies)), ordered(mentions.relationship_mentions(replies)))
+    entities = checkpointed(embed(resolve.embedding_text(graph_tables["entities"]), "embedding_text", embedder))
+    edges = checkpointed(graph_tables["relationships"])
+    return tables | {"chunks": chunks, "replies": replies, "entities": entities, "relationships": edges} | build_graph(entities, edges, chunks)
+
+
 def resolve_graph(entities: DataFrame, relationships: DataFrame) -> dict[str, DataFrame]:
     """Mentions to resolved entities and edges. Edges are ordered by time of extraction, then by all that tells them apart."""
     found = resolve.merged(resolve.grouped(entities))

@@ -39,6 +39,26 @@ def test_markdown_to_chunks_and_back(spark, folder, tmp_path):
     assert found["total_chunks"] == len(chunks) and found["chunks"][0]["chunk_index"] == chunks[0].chunk_index
 
 
+def test_full_ingest(spark, folder):
+    reply = {
+        "entities": [{"name": "Flow Meter", "type": "TECHNOLOGY", "aliases": ["Meter"]}, {"name": "flow meter"}, {"name": "Crew"}],
+        "relationships": [{"source_entity": "crew", "target_entity": "Meter", "relation_type": "uses", "weight": 7}],
+    }
+
+    def extractor(key, text):
+        if key.endswith("0001"):
+            raise OSError("down")
+        return json.dumps(reply)
+
+    read = files.read_markdown(spark, str(folder)).where("source_file = 'a.md'")
+    tables = pipeline.ingest(read, extractor)
+    assert {r["name"] for r in tables["entities"].collect()} == {"Flow Meter", "Crew"}
+    edge = tables["edges"].first()
+    assert (edge.source_entity, edge.label, edge.target_entity, round(edge.weight, 6)) == ("Crew", "USES", "Flow Meter", 0.7)
+    assert tables["replies"].where("error = 'down'").count() == 1 and tables["extracted_from"].count() == 2
+    assert all(len(r.embedding) == 64 for r in tables["entity_nodes"].collect())
+
+
 def test_pdf_needs_a_converter(spark, folder):
     with pytest.raises(DocumentLoadError):
         files.read_pdf(spark, str(folder))
