@@ -24,5 +24,8 @@ SELECT DISTINCT least(entity_id, other_id) AS entity_id_a, greatest(entity_id, o
 """
 
 
+P3_NEAREST = P3_VECTORS + "SELECT entity_id, other_id, similarity, rank::INT AS rank FROM ranked WHERE rank <= 5"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p4_found": P4_FOUND}
+    return {"p3_found": P3_FOUND, "p3_nearest": P3_NEAREST, "p4_found": P4_FOUND}
