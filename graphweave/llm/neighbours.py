@@ -98,6 +98,12 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+def _units(column: pa.Array, kind: type) -> np.ndarray:
+    """Unit vectors in double precision from the bytes of the table's own type, which is what is shuffled."""
+    rows = _matrix(column, kind, DIMENSIONS).astype(float)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def valid_vectors(entities: DataFrame) -> DataFrame:
     """``entity_id, vec`` of the rows whose embedding takes part, once each."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -116,8 +122,8 @@ def fit_codebooks(vectors: DataFrame) -> Codebooks | None:
     return Codebooks.fit(sample, min(MOST_LISTS, max(1, total // LIST_SIZE), max(1, len(sample) // 6)))
 
 
-def _index(vectors: DataFrame, books: Codebooks) -> DataFrame:
-    """``rep, vec, codes, norm, list, probes`` of every vector."""
+def _index(vectors: DataFrame, books: Codebooks, kind: type) -> DataFrame:
+    """``rep, vec, codes, norm, list, probes`` of every vector; ``vec`` has its numbers' bytes as ``kind``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,7 +136,7 @@ def _index(vectors: DataFrame, books: Codebooks) -> DataFrame:
                 near, codes, norms = books.encode(points)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("rep"), pa.array([x.tobytes() for x in unit], pa.binary()),
+                        batch.column("rep"), pa.array([x.tobytes() for x in raw.astype(kind)], pa.binary()),
                         pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norms.astype(np.float32)),
                         pa.array(near.astype(np.int32)), pa.array(books.probes(points).astype(np.int32).tolist(), pa.list_(pa.int32())),
                     ],
@@ -140,17 +146,17 @@ def _index(vectors: DataFrame, books: Codebooks) -> DataFrame:
     return spread(vectors).mapInArrow(work, "rep bigint, vec binary, codes binary, norm float, list int, probes array<int>")
 
 
-def _search(books: Codebooks, k: int):
+def _search(books: Codebooks, k: int, kind: type):
     """The best ``k`` of a list's members for each query that looks it up."""
 
     def work(members: pa.Table, queries: pa.Table) -> pa.Table:
         empty = {"rep": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())}
         if not members.num_rows or not queries.num_rows:
             return pa.table(empty)
-        exact, codes = _matrix(members["vec"], float, DIMENSIONS), _matrix(members["codes"], np.uint8, CODEBOOKS)
+        exact, codes = _units(members["vec"], kind), _matrix(members["codes"], np.uint8, CODEBOOKS)
         norms, ids = members["norm"].to_numpy(), members["rep"].to_numpy()
         centre = books.lists[members["list"][0].as_py()]
-        wanted, asking = _matrix(queries["q_vec"], float, DIMENSIONS), queries["q_rep"].to_numpy()
+        wanted, asking = _units(queries["q_vec"], kind), queries["q_rep"].to_numpy()
         out = []
         for at in range(0, len(wanted), 512):
             some, who = wanted[at : at + 512], asking[at : at + 512]
@@ -192,7 +198,8 @@ def nearest(entities: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     books = fit_codebooks(groups.select(F.col("rep").alias("entity_id"), "vec"))
     if books is None:
         return spark.createDataFrame([], "entity_id bigint, other_id bigint, similarity double, rank int")
-    index = checkpointed(_index(groups.select("rep", "vec"), books))
+    kind = np.float32 if dict(groups.dtypes)["vec"] == "array<float>" else np.float64
+    index = checkpointed(_index(groups.select("rep", "vec"), books, kind))
     lists = _lists(index)
     members = index.join(lists, "list").select(
         "list", F.expr("pmod(xxhash64(rep), parts)").alias("part"), F.explode(F.expr("sequence(0, shares - 1)")).alias("share"),
@@ -207,7 +214,7 @@ def nearest(entities: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     # both sides in the same number of partitions, which adaptive execution then leaves as it is
     parts, q_keys = int(spark.conf.get("spark.sql.shuffle.partitions")), [f"q_{x}" for x in keys]
     asking = queries.repartition(parts, *q_keys).groupBy(*q_keys)
-    found = members.repartition(parts, *keys).groupBy(*keys).cogroup(asking).applyInArrow(_search(books, k), "rep bigint, other bigint, similarity double")
+    found = members.repartition(parts, *keys).groupBy(*keys).cogroup(asking).applyInArrow(_search(books, k, kind), "rep bigint, other bigint, similarity double")
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     near = found.groupBy("rep").agg(F.collect_list(F.struct("other", "similarity")).alias("near"))
