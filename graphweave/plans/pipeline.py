@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from graphweave.config import EngineConfig
 from graphweave.operators import chunking, clean, context, graph, mentions, metadata, resolve, search, validate
 from graphweave.plugins import embed, hashed_words
-from graphweave.session import checkpointed
+from graphweave.session import checkpointed, spread
 
 
 def ingest_chunks(documents: DataFrame, config: EngineConfig | None = None) -> dict[str, DataFrame]:
     """Documents (``file_hash, text``) to the tables of documents, chunks, PART_OF and NEXT_CHUNK."""
     config = config or EngineConfig()
-    cleaned = metadata.enrich(clean.clean(documents))
+    # written once: sections, offsets and the table of documents all start from the cleaned text
+    cleaned = checkpointed(metadata.enrich(clean.clean(spread(documents))))
     found = chunking.chunk(cleaned, config.chunk_size_tokens, config.chunk_overlap_tokens)
     kept = validate.valid(found, config.min_chunk_tokens)
     return {"documents": cleaned, "chunks": kept, "part_of": graph.part_of(kept, cleaned), "next_chunk": graph.next_chunk(kept)}
