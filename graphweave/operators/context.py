@@ -44,13 +44,17 @@ def truncated(text: Column, tokens: int) -> Column:
     return F.regexp_extract(text, rf"(?s)\A(?:.*?(?:{TOKEN})){{0,{tokens}}}", 0)
 
 
-def contexts(hits: DataFrame, edges: DataFrame, chunks: DataFrame, budget: int = 2500) -> DataFrame:
+def contexts(hits: DataFrame, edges: DataFrame, chunks: DataFrame, budget: int = 2500, questions: DataFrame | None = None) -> DataFrame:
     """``question_id, context, tokens``: entities, relationships, then as many passages as the rest of the budget holds.
 
-    ``chunks`` has ``question_id, chunk_id, text, source_file, hop``.
+    ``chunks`` has ``question_id, chunk_id, text, source_file, hop``. All ``questions``, or all with hits, have a row; a part
+    without lines is its header.
     """
-    told = entity_section(hits).join(edge_section(edges), "question_id", "left")
-    used = token_count(F.col("entity_section")) + F.coalesce(token_count(F.col("edge_section")), F.lit(0))
+    asked = (hits if questions is None else questions).select("question_id").distinct()
+    told = asked.join(entity_section(hits), "question_id", "left").join(edge_section(edges), "question_id", "left")
+    headers = {"entity_section": ENTITY_HEADER, "edge_section": EDGE_HEADER}
+    told = told.withColumns({name: F.coalesce(name, F.lit(header)) for name, header in headers.items()})
+    used = token_count(F.col("entity_section")) + token_count(F.col("edge_section"))
     told = told.withColumn("left_over", F.greatest(F.lit(0), F.lit(budget) - used))
     entry = F.concat(F.lit("[Chunk "), F.col("chunk_id"), F.lit("] (Source: "), F.coalesce("source_file", F.lit("")), F.lit("):\n"), F.col("text"))
     passages = chunks.withColumn("entry", entry).withColumn("tokens", token_count(F.col("entry")))

@@ -113,7 +113,7 @@ def fuzzy_matches(asked: DataFrame, entities: DataFrame, k: int = 10) -> DataFra
     """``question_id, name, score``: the first ``k`` entities by name whose name or description contains a keyword.
 
     Each keyword is looked up by its rarest three letters (two if it is that short) among those of all entities, then
-    compared: an equality join instead of all pairs.
+    compared: an equality join instead of all pairs. Of a keyword's entities the first ``k`` are enough for any question.
     """
     width = 3
     text = F.lower(F.concat_ws("\n", "name", "description"))
@@ -130,7 +130,9 @@ def fuzzy_matches(asked: DataFrame, entities: DataFrame, k: int = 10) -> DataFra
     single = single.withColumn("grams", F.when(F.length("word") >= width, grams("word", width)).otherwise(grams("word", 2)))
     rarest = single.select("word", F.explode("grams").alias("gram")).join(often, "gram", "left")
     rarest = rarest.groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    hits = rarest.join(index, "gram").where("contains(text, word)").select("word", "name").distinct()
+    hits = rarest.join(index, "gram").where("contains(text, word)").select("word", "name")
+    first = F.dense_rank().over(Window.partitionBy("word").orderBy("name"))
+    hits = hits.withColumn("n", first).where(F.col("n") <= k).select("word", "name").distinct()
     found = words.join(hits, "word").select("question_id", "name").distinct()
     n = F.row_number().over(Window.partitionBy("question_id").orderBy("name"))
     return found.withColumn("n", n).where(F.col("n") <= k).select("question_id", "name", F.lit(FUZZY_SCORE).alias("score"))

@@ -63,17 +63,18 @@ def ask(questions: DataFrame, entities: DataFrame, edges: DataFrame, chunks: Dat
     """``question_id, context, tokens`` for ``question_id, question, embedding``.
 
     ``entities`` has ``entity_id, name, type, description, aliases, source_chunk_ids, embedding`` with unique names, ``edges``
-    has ``source_entity, label, target_entity, description``, ``chunks`` has ``chunk_id, text, source_file``.
+    has ``source_entity, label, target_entity, description``, ``chunks`` has ``chunk_id, text, source_file``. Names of vector hits
+    are matched exactly, keywords of the question by containment. Every question has a row, if only of headers.
     """
     config = config or EngineConfig()
     # hits are few, k a question, and four steps start from them
     vector = checkpointed(search.vector_top_k(questions, entities, config.top_k).join(entities.select("entity_id", "name"), "entity_id"))
     exact = search.exact_matches(vector.select("question_id", F.col("name").alias("wanted")), entities)
-    asked = vector.select("question_id", F.col("name").alias("keyword"))
+    asked = questions.select("question_id", F.explode(search.keywords(F.col("question"))).alias("keyword"))
     fuzzy = search.fuzzy_matches(asked, entities, config.top_k)
     hits = checkpointed(search.fused(exact.union(fuzzy), vector, config.graph_weight, config.vector_weight))
     near = search.neighbours(hits, edges).select("question_id", "name", F.lit(0.0).alias("combined_score"))
     told = hits.select("question_id", "name", "combined_score").union(near).join(entities.select("name", "type", "description"), "name")
     found = search.connected_chunks(hits, graph.extracted_from(entities, chunks))
     passages = search.expanded_chunks(found, links).join(chunks.select("chunk_id", "text", "source_file"), "chunk_id")
-    return context.contexts(told, search.incident_edges(hits, edges), passages, config.context_tokens)
+    return context.contexts(told, search.incident_edges(hits, edges), passages, config.context_tokens, questions)
