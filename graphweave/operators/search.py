@@ -130,6 +130,8 @@ def fuzzy_matches(asked: DataFrame, entities: DataFrame, k: int = 10) -> DataFra
     single = single.withColumn("grams", F.when(F.length("word") >= width, grams("word", width)).otherwise(grams("word", 2)))
     rarest = single.select("word", F.explode("grams").alias("gram")).join(often, "gram", "left")
     rarest = rarest.groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    # the grams looked up are bounded by the letters there are; the texts of all others stay where they are
+    index = index.join(F.broadcast(rarest.select("gram").distinct()), "gram", "left_semi")
     hits = rarest.join(index, "gram").where("contains(text, word)").select("word", "name")
     first = F.dense_rank().over(Window.partitionBy("word").orderBy("name"))
     hits = hits.withColumn("n", first).where(F.col("n") <= k).select("word", "name").distinct()
