@@ -121,13 +121,18 @@ def held_words(test: np.ndarray, train: np.ndarray) -> int:
     that ends last before it, at most ``GAP`` words away on either side.
     """
     passages: list[list[int]] = []  # first and last word in the item, last word in the document, first in the document
+    within: list[list[int]] = []  # the passages that a match can still continue, in the order of their start
+    at = -1
     for t, d in zip(test.tolist(), train.tolist()):
-        for p in reversed(passages[-40:]):
+        if d != at:
+            within, at = [p for p in within if d + RUN - 1 - p[2] <= GAP + RUN], d
+        for p in reversed(within):
             if 0 < t + RUN - 1 - p[1] <= GAP + RUN and 0 < d + RUN - 1 - p[2] <= GAP + RUN:
                 p[1], p[2] = t + RUN - 1, d + RUN - 1
                 break
         else:
-            passages.append([t, t + RUN - 1, d + RUN - 1, d])
+            within.append([t, t + RUN - 1, d + RUN - 1, d])
+            passages.append(within[-1])
     kept = [p for p in passages if p[1] - p[0] + 1 > SHARED]
     best = max((p[1] - p[0] + 1 for p in kept), default=0)
     for i, a in enumerate(kept):
