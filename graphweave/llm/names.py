@@ -1,11 +1,11 @@
 """Variant spellings of the names of persons and organisations (problem 1).
 
-Every distinct spelling is read once into a canonical form: a person's given name (nicknames resolved) and surname, an
-organisation's own name and its line of business; titles, middle initials, legal forms and the order of parts do not
-count. Forms become vectors of weighted character n-grams and are joined by cosine on shared n-grams within one given
-name or line of business; pairs above a threshold, after an exact check of the edit distance, are grouped by
-average-linkage clustering. A form with only an initial, or without a line of business, joins the one group that it can
-mean; where it can mean several, a full alias of its row decides, else it stays alone.
+Every distinct spelling is read once into a whole normal name: nicknames and abbreviations are spelled out, titles, legal
+forms, middle initials and the order of parts do not count. A name is a vector of weighted character n-grams, each bound to
+the first letter of another word of the name. A distributed sparse join finds all pairs of names whose cosine reaches
+``LEAST_COSINE``; an exact check of the parts follows; average linkage groups the pairs that are left. A name with only an
+initial, an ambiguous nickname or no line of business joins the one group that it can mean by the same join; where it can
+mean several, a full alias of its row decides, else it stays alone.
 
 Null and blank names, and strings that name neither a person nor an organisation, are in no result. Repeated rows count
 once, empty tables give empty results, extra columns are ignored.
@@ -24,12 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweave.operators import resolve as core_resolve
 from graphweave.session import checkpointed
 
 #: Length of the n-grams, the least cosine of a pair, and the least average cosine at which two clusters are joined.
-GRAM, LEAST_COSINE, LINKAGE = 3, 0.15, 0.15
-#: Of a form's n-grams, the rarest that are joined: one more than the allowed edits can change.
-PREFIX = 8
+GRAM, LEAST_COSINE, LINKAGE = 3, 0.55, 0.4
+#: An n-gram that one name in so many has weighs 0.7, rarer ones up to 1, more frequent ones less; shares are of a table of
+#: at least so many names, since a few names say little about what is frequent.
+HALF_WEIGHT, LEAST_TOTAL = 200, 10_000
+#: Rows of a posting list or a cluster that meet in one group; longer ones are split on one side and repeated on the other.
+MOST_TOGETHER = 2_000
+#: Names of a connected component that one task groups at once; larger ones go through distributed rounds first.
+MOST_IN_TASK = 1_000
+# Strings in place of a name that is not known.
+NO_NAMES = frozenset("n/a na none null nil unknown tbd".split())
 # Spellings of the two types.
 PERSON_TYPES = ("PERSON", "PEOPLE", "PERSONS", "HUMAN")
 ORGANISATION_TYPES = ("ORGANIZATION", "ORGANISATION", "ORG", "COMPANY", "ORGANIZATIONS")
@@ -139,11 +147,13 @@ def _business(token: str, dotted: bool) -> str | None:
 
 def parse(raw: str, hint: str = "") -> tuple[str, str, str] | None:
     """``kind, block, core`` of a name. ``kind`` is P or O. ``block`` is a person's given name or an organisation's line of
-    business; with only the start of a given name it is that start and a star, with no line of business a star."""
+    business. Blocks that leave open what they mean hold a mark: the start of a given name and a star, alternatives between
+    bars, a star alone for no line of business, and a question mark behind the given name of what may be no person at all.
+    A person of one name has the block ``-``."""
     text = re.sub(r"\([^)]*\)", " ", _plain(raw))
     parts = [(t, d == ".") for t, d in re.findall(r"([^\W_]+)(?:['’]s\b)?(\.?)", text)]
     comma = [len(re.findall(r"[^\W_]+", x)) for x in text.split(",")]
-    if not parts:
+    if not parts or text.strip() in NO_NAMES:
         return None
     words = [(t, d) for t, d in parts if t not in LEGAL]
     legal = len(words) < len([t for t, _ in parts if t != "the"])
@@ -170,17 +180,28 @@ def _organisation(words: list[tuple[str, bool]], certain: bool) -> tuple[str, st
         if glued:
             kinds, own = [glued], [own[0].removesuffix(glued)]
     core = "".join(own)
-    if len(core) < 3 or not (kinds or certain):
+    if not core or not (kinds or certain) or (not certain and len(core) < 3):
         return None
     special = set(kinds) - GENERAL_BUSINESS or set(kinds)
     return "O", " ".join(sorted(special)) or "*", core
 
 
+def guess(raw: str) -> tuple[str, str, str] | None:
+    """Two or three words that no list knows: a person, if some row has that person's name."""
+    text = _plain(raw)
+    words = [t for t in re.findall(r"[^\W_]+", text) if t not in TITLES and len(t) > 1]
+    if not 2 <= len(words) <= 3:
+        return None
+    if text.count(",") == 1 and len(re.findall(r"[^\W_]+", text.split(",")[1])) == 1:
+        words = words[-1:] + words[:-1]
+    return "P", words[0] + "?", "".join(words[1:])
+
+
 def _person(parts: list[tuple[str, bool]], comma: list[int], sure: bool) -> tuple[str, str, str] | None:
     means, full = _given()
     tokens = [(t, d) for t, d in parts if t not in TITLES]
     if len(tokens) < 2:
-        return None
+        return ("P", "-", tokens[0][0]) if sure and tokens and len(tokens[0][0]) > 1 else None
     order = list(range(len(tokens)))
     if len(comma) == 2 and comma[0] and comma[1]:  # "Surname, Given": what stands behind the comma is looked at first
         behind = min(comma[1], len(tokens) - 1)
@@ -206,7 +227,21 @@ def _person(parts: list[tuple[str, bool]], comma: list[int], sure: bool) -> tupl
     if chosen is None:
         return None
     core = "".join(t for k, (t, _) in enumerate(tokens) if k != chosen and len(t) > 1)
-    return ("P", block, core) if len(core) >= 4 else None
+    if not core and sure and "*" not in block:  # "Prof. Ann": one name
+        return "P", "-", tokens[chosen][0]
+    return ("P", block, core) if len(core) >= (2 if sure else 4) else None
+
+
+def grams(kind: str, block: str, core: str) -> list[str]:
+    """The n-grams of a whole normal name, each bound to the first letter of another word; a name of one word binds to none."""
+    found = set()
+    for meaning in block.split("|"):
+        words = [w for w in [*re.sub(r"[*?-]", "", meaning).split(), core] if w]
+        for i, word in enumerate(words):
+            spans = [f"^{word}"] if len(word) == 1 else [f"^{word}$"[k : k + GRAM] for k in range(len(word) + 3 - GRAM)]
+            for letter in {w[0] for j, w in enumerate(words) if j != i} or {""}:
+                found.update(f"{kind}{letter} {x}" for x in spans)
+    return sorted(found)
 
 
 def spellings(entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -233,83 +268,134 @@ def forms(raws: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for raw, hint in zip(batch.column("raw").to_pylist(), batch.column("hint").to_pylist()):
-                found = parse(raw, hint)
+                found = parse(raw, hint) or (guess(raw) if hint == "" else None)
                 if found:
-                    rows.append((raw, hint, *found, "|".join(found)))
+                    rows.append((raw, hint, *found, "/".join(found)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 6)], names=names)
 
     names = ["raw", "hint", "kind", "block", "core", "form"]
     return raws.select("raw", "hint").distinct().mapInArrow(work, ", ".join(f"{n} string" for n in names))
 
 
-def _postings(named: DataFrame, extra: list[str]) -> DataFrame:
-    """``form, core, group, gram, weight, place``: an n-gram of a form a row, with its weight, and its place among the
-    form's n-grams from the rarest of the group on."""
-    padded = F.concat(F.lit("^"), "core", F.lit("$"))
-    grams = F.expr(f"transform(sequence(1, length(padded) - {GRAM - 1}), i -> substring(padded, i, {GRAM}))")
-    rows = named.withColumn("padded", padded).select("form", "core", "group", *extra, F.explode(grams).alias("gram"))
-    counted = rows.groupBy("form", "core", "group", *extra, "gram").agg(F.count("*").alias("tf"))
-    often = counted.groupBy("group", "gram").agg(F.count("*").alias("df"))
-    weight = F.col("tf") / F.sqrt(F.log1p(F.col("df").cast("double")))
-    place = F.row_number().over(Window.partitionBy("form", "group", *extra).orderBy("df", "gram"))
-    return counted.join(often, ["group", "gram"]).select("form", "core", "group", *extra, "gram", weight.alias("weight"), place.alias("place"))
+def vectors(found: DataFrame) -> DataFrame:
+    """``form, kind, block, core, listed, gram, weight, df, norm``: a row for each n-gram of each distinct form. ``weight`` falls
+    with the number of forms that have the n-gram (``df``), ``norm`` is the length of the form's vector."""
+    schema = "form string, kind string, block string, core string, listed boolean, grams array<string>"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = _given()[1]
+        for batch in batches:
+            rows = [batch.column(n).to_pylist() for n in ("kind", "block", "core")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(n) for n in ("form", "kind", "block", "core")], pa.array([b in listed for b in rows[1]], pa.bool_()),
+                    pa.array([grams(*x) for x in zip(*rows)], pa.list_(pa.string())),
+                ],
+                names=["form", "kind", "block", "core", "listed", "grams"],
+            )
+
+    named = found.select("form", "kind", "block", "core").distinct().mapInArrow(work, schema)
+    rows = named.select("form", "kind", "block", "core", "listed", F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram"))
+    often = rows.groupBy("gram").agg(F.count("*").alias("df"))
+    total = found.select("form").distinct().count()
+    rows = rows.join(often, "gram").withColumn("weight", 1 / F.sqrt(1 + F.col("df") * HALF_WEIGHT / F.lit(max(LEAST_TOTAL, total))))
+    return rows.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("form"))))
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """The n-grams of each form, rarest first, without the tail that is too short a vector for ``LEAST_COSINE``: two forms of
+    that cosine share an n-gram of both prefixes, since all that they share is no longer than either tail otherwise."""
+    rarest = Window.partitionBy("form").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rarest), F.lit(0.0))
+    whole = F.col("norm") * F.col("norm")
+    # the slack keeps pairs that are at the threshold up to rounding
+    return rows.where(F.col("norm") > 0).withColumn("rest", whole - before).where(F.col("rest") >= (LEAST_COSINE**2 - 1e-9) * whole).drop("rest")
 
 
 def _near(a: Column, b: Column) -> Column:
     """Few enough edits for two spellings of one name; a swap of letters counts two, and may go with a third edit."""
     edits, short = F.levenshtein(a, b, 3), F.least(F.length(a), F.length(b))
     letters = F.levenshtein(*(F.array_join(F.array_sort(F.split(x, "")), "") for x in (a, b)))
-    few = ((edits >= 0) & (edits <= 1)) | ((edits == 2) & (short >= 7))
+    few = (edits == 0) | ((edits == 1) & (short >= 4)) | ((edits == 2) & (short >= 7))
     return few | F.when((edits == 3) & (short >= 11), letters <= 2).otherwise(F.lit(False))
 
 
-def similar_forms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``form_a, form_b, cosine`` of full forms in one group, and pairs ``open, full, edits`` of a form that leaves its
-    group open with the full forms that it can mean.
+def _postings(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("form", "block", "core", "listed")], *([] if x == "a" else ["df"]))
 
-    The edits that are allowed change at most ``PREFIX`` - 1 of a form's n-grams, so two such forms share one of their
-    ``PREFIX`` rarest: only those are joined. No pair is lost by it, and frequent n-grams never meet.
-    """
-    named = found.select("form", "kind", "block", "core").distinct()
-    open_block = F.col("block").contains("*") | F.col("block").contains("|")
-    full = named.where(~open_block)
-    rows = checkpointed(_postings(full.withColumn("group", F.concat_ws("|", "kind", "block")), []))
-    rare = rows.where(F.col("place") <= PREFIX)
-    a, b = (rare.select(F.col("form").alias(f"form_{x}"), F.col("core").alias(f"core_{x}"), "group", "gram") for x in "ab")
-    pairs = a.join(b, ["group", "gram"]).where((F.col("form_a") < F.col("form_b")) & _near(F.col("core_a"), F.col("core_b")))
-    pairs = pairs.select("form_a", "form_b").distinct()
-    vectors = rows.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Postings joined by n-gram; those of a long list meet in parts, of which each left row is in one."""
+    parts = F.ceil(F.col("df") / MOST_TOGETHER)
+    right = _postings(right, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("df")
+    left = left.withColumn("part", F.pmod(F.xxhash64("form"), parts))
+    left = left.select("gram", "part", *[F.col(c).alias(f"{c}_a") for c in ("form", "block", "core", "listed")])
+    return left.join(right, ["gram", "part"])
+
+
+def _cosines(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` (``form_a, form_b``) with their ``cosine``, those below ``LEAST_COSINE`` left out."""
+    whole = rows.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"), F.first("norm").alias("norm"))
     for x in "ab":
-        pairs = pairs.join(vectors.select(F.col("form").alias(f"form_{x}"), F.col("v").alias(f"v_{x}"), F.col("norm").alias(f"norm_{x}")), f"form_{x}")
+        pairs = pairs.join(whole.select(F.col("form").alias(f"form_{x}"), F.col("v").alias(f"v_{x}"), F.col("norm").alias(f"norm_{x}")), f"form_{x}")
     product = F.expr("aggregate(map_entries(v_a), 0D, (s, e) -> s + e.value * coalesce(try_element_at(v_b, e.key), 0D))")
-    pairs = pairs.select("form_a", "form_b", (product / F.col("norm_a") / F.col("norm_b")).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-    # forms that leave open what they mean: by first letter for persons, by any line of business for organisations
-    letter = F.when(F.col("kind") == "O", "O|").otherwise(F.concat(F.lit("P|"), F.substring("block", 1, 1)))
-    starts = named.where(open_block & ~F.col("block").contains("|")).withColumn("group", letter)
-    nicks = named.where(F.col("block").contains("|")).withColumn("meant", F.explode(F.split("block", r"\|")))
-    starts = starts.withColumn("start", F.regexp_replace("block", r"\*", "")).unionByName(
-        nicks.withColumn("group", F.concat(F.lit("P|"), F.substring("meant", 1, 1))).withColumn("start", F.col("meant")).drop("meant")
-    )
-    mixed = starts.select("form", "core", "group", "start", F.lit("").alias("name")).union(full.select("form", "core", letter, F.lit(""), "block"))
-    rare = checkpointed(_postings(mixed, ["start", "name"]).where(F.col("place") <= PREFIX).drop("weight", "place"))
-    asked = rare.where("name = ''").select(F.col("form").alias("open"), F.col("core").alias("core_a"), "start", "group", "gram")
-    known = rare.where("name != ''").select(F.col("form").alias("full"), F.col("core").alias("core_b"), "name", "group", "gram")
-    meant = asked.join(known, ["group", "gram"]).where(F.expr("startswith(name, start)") & _near(F.col("core_a"), F.col("core_b")))
-    return pairs, meant.select("open", "full", F.levenshtein("core_a", "core_b").alias("edits")).distinct()
+    pairs = pairs.withColumn("cosine", product / F.col("norm_a") / F.col("norm_b")).drop("v_a", "v_b", "norm_a", "norm_b")
+    return pairs.where(F.col("cosine") >= LEAST_COSINE - 1e-9)
+
+
+def is_open(block: Column) -> Column:
+    """Whether a block leaves open what it means."""
+    return block.rlike(r"[*|?]")
+
+
+def similar_forms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``form_a, form_b, cosine`` of forms of one block, and pairs ``open, full, edits`` of a form that leaves its block
+    open with the full forms that it can mean. Both are all pairs of at least ``LEAST_COSINE`` whose parts agree.
+
+    Spark evaluates the check of the parts first, inside the join of the prefixes, since pairs are fewer after it; what
+    is left is the same in either order.
+    """
+    rows = checkpointed(vectors(found))
+    rare = checkpointed(prefixes(rows))
+    a, b = ("block_a", "core_a"), ("block_b", "core_b")
+    near = _near(F.col("core_a"), F.col("core_b"))
+    # a given name that is in no list may be misspelt, and its place is a guess
+    unlisted = F.col("form_a").startswith("P") & ~(F.col("listed_a") & F.col("listed_b")) & ~is_open(F.col("block_a")) & ~is_open(F.col("block_b"))
+    turned = _near(F.col(a[0]), F.col(b[1])) & _near(F.col(a[1]), F.col(b[0]))
+    agree = ((F.col("block_a") == F.col("block_b")) & near) | (unlisted & ((_near(F.col("block_a"), F.col("block_b")) & near) | turned))
+    pairs = _met(rare, rare).where((F.col("form_a") < F.col("form_b")) & agree).select("form_a", "form_b").distinct()
+    pairs = _cosines(pairs, rows)
+    open_rows = rare.where(is_open(F.col("block")))
+    full_rows = rare.where(~is_open(F.col("block")))
+    bare = F.regexp_replace("block_a", r"[*?]", "")
+    meant = (
+        (F.col("block_a").contains("|") & F.array_contains(F.split("block_a", r"\|"), F.col("block_b")) & near)
+        | (F.col("block_a").contains("*") & F.startswith("block_b", bare) & near)
+        | (F.col("block_a").contains("?") & ((_near(bare, F.col("block_b")) & near) | (_near(bare, F.col("core_b")) & _near(F.col("core_a"), F.col("block_b")))))
+    )
+    meant = _met(open_rows, full_rows).where(F.col("form_a").startswith("P") & meant)
+    meant = _cosines(meant.select("form_a", "form_b", F.levenshtein("core_a", "core_b").alias("edits")).distinct(), rows)
+    meant = meant.select(F.col("form_a").alias("open"), F.col("form_b").alias("full"), "edits")
+    return pairs, meant.union(_without_business(found))
+
+
+def _without_business(found: DataFrame) -> DataFrame:
+    """``open, full, edits`` for organisations without a line of business: compared with the others without theirs."""
+    named = found.where("kind = 'O'").select("form", "block", "core").distinct()
+    bare = named.select(F.concat(F.lit("O/*/"), "core").alias("form"), F.lit("O").alias("kind"), F.lit("*").alias("block"), "core").distinct()
+    rows = checkpointed(vectors(bare))
+    rare = prefixes(rows)
+    asked = rare.join(named.where("block = '*'").select("form"), "form", "left_semi")
+    met = _met(asked, rare).where(_near(F.col("core_a"), F.col("core_b")))
+    met = _cosines(met.select("form_a", "form_b", "core_b", F.levenshtein("core_a", "core_b").alias("edits")).distinct(), rows)
+    full = named.where("block != '*'").select(F.col("form").alias("full"), F.col("core").alias("core_b"))
+    return met.join(full, "core_b").select(F.col("form_a").alias("open"), "full", "edits")
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """``form, component`` of all forms in a pair: the smallest form that a chain of pairs leads to."""
-    links = checkpointed(pairs.select("form_a", "form_b").union(pairs.select("form_b", "form_a")).toDF("form", "other"))
-    labels = checkpointed(links.groupBy("form").agg(F.least(F.col("form"), F.min("other")).alias("component")))
-    while True:
-        near = links.join(labels.select(F.col("form").alias("other"), F.col("component").alias("near")), "other")
-        least = near.groupBy("form").agg(F.min("near").alias("near"))
-        moved = labels.join(least, "form").select("form", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
-        moved = checkpointed(moved)
-        labels = moved.select("form", "component")
-        if moved.where("moved").isEmpty():
-            return labels
+    found = core_resolve.components(pairs.select(F.col("form_a").alias("a"), F.col("form_b").alias("b")))
+    return found.select(F.col("key").alias("form"), "component")
 
 
 def average_linkage(mentions: dict[str, int], pairs: dict[tuple[str, str], float]) -> dict[str, str]:
@@ -340,15 +426,66 @@ def average_linkage(mentions: dict[str, int], pairs: dict[tuple[str, str], float
     return {n: names[min(np.flatnonzero(parent == parent[place[n]]))] for n in names}
 
 
+def _mutual(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``form, into``: every two clusters that are each other's closest, to be joined in one round over all clusters.
+
+    Average linkage never makes two clusters closer than their parts were, so this gives the same groups as joining the
+    closest pair of all again and again. ``pairs`` has ``form_a < form_b, total`` (the sum of cosines over mentions),
+    ``sizes`` has ``form, mentions``."""
+    for x in "ab":
+        pairs = pairs.join(sizes.select(F.col("form").alias(f"form_{x}"), F.col("mentions").alias(f"n_{x}")), f"form_{x}")
+    mean = pairs.withColumn("mean", F.col("total") / F.col("n_a") / F.col("n_b")).where(F.col("mean") >= LINKAGE)
+    both = mean.select("form_a", "form_b", "mean").union(mean.select("form_b", "form_a", "mean"))
+    # the order of equal means is one for the whole table, so that some pair is always mutual
+    rank = F.struct(-F.col("mean"), F.least("form_a", "form_b"), F.greatest("form_a", "form_b"))
+    best = both.groupBy("form_a").agg(F.min_by("form_b", rank).alias("form_b"))
+    back = best.select(F.col("form_b").alias("form_a"), F.col("form_a").alias("form_b"))
+    mutual = best.join(back, ["form_a", "form_b"]).where("form_a < form_b")
+    return mutual.select(F.col("form_b").alias("form"), F.col("form_a").alias("into"))
+
+
+def _joined(pairs: DataFrame, sizes: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    for x in "ab":
+        moved = merged.select(F.col("form").alias(f"form_{x}"), F.col("into").alias(f"into_{x}"))
+        pairs = pairs.join(moved, f"form_{x}", "left").withColumn(f"form_{x}", F.coalesce(f"into_{x}", f"form_{x}")).drop(f"into_{x}")
+    pairs = pairs.where("form_a != form_b").groupBy(F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b"))
+    pairs = pairs.agg(F.sum("total").alias("total"))
+    sizes = sizes.join(merged, "form", "left").groupBy(F.coalesce("into", "form").alias("form")).agg(F.sum("mentions").alias("mentions"))
+    return pairs, sizes
+
+
+def linkage_rounds(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``form, cluster`` of the forms of ``pairs`` by average linkage in distributed rounds, however large a component is."""
+    sizes = mentions.join(pairs.select(F.col("form_a").alias("form")).union(pairs.select("form_b")).distinct(), "form")
+    of = checkpointed(sizes.select("form", F.col("form").alias("cluster")))
+    for x in "ab":
+        pairs = pairs.join(sizes.select(F.col("form").alias(f"form_{x}"), F.col("mentions").alias(f"n_{x}")), f"form_{x}")
+    pairs = checkpointed(pairs.select("form_a", "form_b", (F.col("cosine") * F.col("n_a") * F.col("n_b")).alias("total")))
+    sizes = checkpointed(sizes)
+    while True:
+        merged = checkpointed(_mutual(pairs, sizes))
+        if merged.isEmpty():
+            return of
+        pairs, sizes = (checkpointed(x) for x in _joined(pairs, sizes, merged))
+        moved = merged.withColumnRenamed("form", "cluster")
+        of = checkpointed(of.join(moved, "cluster", "left").select("form", F.coalesce("into", "cluster").alias("cluster")))
+
+
 def clusters(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     """``form, cluster`` of all forms in a pair, by average linkage of their mentions within each connected component.
 
-    A component holds the misspellings of one name under one given name or line of business, so it stays small
-    however many rows have them.
+    Components of at most ``MOST_IN_TASK`` forms are grouped each in one task, larger ones in distributed rounds over
+    all of them; both give the same groups.
     """
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(pairs.select("form_a", "form_b", "cosine"))
     of = components(pairs)
+    size = of.groupBy("component").agg(F.count("*").alias("forms"))
+    large = checkpointed(size.where(F.col("forms") > MOST_IN_TASK).select("component"))
     grouped = pairs.join(of.withColumnRenamed("form", "form_a"), "form_a")
+    several = not large.isEmpty()
+    far = linkage_rounds(grouped.join(large, "component", "left_semi").select("form_a", "form_b", "cosine"), mentions) if several else None
+    if several:
+        grouped = grouped.join(large, "component", "left_anti")
     for x in "ab":
         grouped = grouped.join(mentions.select(F.col("form").alias(f"form_{x}"), F.col("mentions").alias(f"mentions_{x}")), f"form_{x}")
 
@@ -360,7 +497,8 @@ def clusters(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
 
     # the rows are few but each group costs Python time: spread them over the cores, which coalescing would undo
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
-    return grouped.repartition(parts, "component").groupBy("component").applyInPandas(work, "form string, cluster string")
+    near = grouped.repartition(parts, "component").groupBy("component").applyInPandas(work, "form string, cluster string")
+    return near.union(far) if several else near
 
 
 def resolve(found: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -368,16 +506,16 @@ def resolve(found: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, meant = similar_forms(found)
     meant = checkpointed(meant)
     mentions = found.join(counts, ["raw", "hint"]).groupBy("form").agg(F.sum("n").alias("mentions"))
-    grouped = clusters(pairs, checkpointed(mentions))
-    open_block = F.col("block").contains("*") | F.col("block").contains("|")
-    full = found.where(~open_block).select("form").distinct()
-    full = checkpointed(full.join(grouped, "form", "left").select("form", F.coalesce("cluster", "form").alias("cluster")))
+    grouped = checkpointed(clusters(pairs, checkpointed(mentions)))
+    every = found.select("form", is_open(F.col("block")).alias("open"), F.col("block").contains("?").alias("unsure")).distinct()
+    every = checkpointed(every.join(grouped, "form", "left").withColumn("cluster", F.coalesce("cluster", "form")))
+    full = every.where("not open").select("form", "cluster")
     best = meant.groupBy("open").agg(F.min("edits").alias("least"))
     could = meant.join(best, "open").where("edits = least").join(full.withColumnRenamed("form", "full"), "full").select(F.col("open").alias("form"), "cluster").distinct()
     count = could.groupBy("form").agg(F.count("*").alias("meanings"))
     could = checkpointed(could.join(count, "form"))
-    # an open form without any full one stands for itself
-    alone = found.where(open_block).select("form").distinct().join(could.select("form").distinct(), "form", "left_anti").select("form", F.col("form").alias("cluster"))
+    # open forms without any full one stand for themselves, with those of the same open block that are like them
+    alone = every.where("open and not unsure").join(could.select("form").distinct(), "form", "left_anti").select("form", "cluster")
     return full.union(could.where("meanings = 1").select("form", "cluster")).union(alone), could.where("meanings > 1").select("form", "cluster")
 
 
@@ -401,10 +539,16 @@ def linked(entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, Da
 
 
 def same_names(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """``kind, key_a, key_b``: pairs of rows that denote the same, and rows with the endpoints that denote the same."""
+    """``kind, key_a, key_b``: pairs of rows that denote the same, and rows with the endpoints that denote the same.
+
+    The rows of a cluster of more than ``MOST_TOGETHER`` rows meet in parts, so that no task holds a whole hot cluster."""
     rows, ends = linked(entities, relationships)
     rows = checkpointed(rows)
-    a, b = rows.select("cluster", F.col("entity_id").alias("key_a")), rows.select("cluster", F.col("entity_id").alias("key_b"))
-    entity = a.join(b, "cluster").where("key_a < key_b").select(F.lit("entity").alias("kind"), "key_a", "key_b")
-    touched = ends.join(a, "cluster").select("kind", "key_a", F.col("rel_id").alias("key_b"))
-    return entity.union(touched).distinct()
+    size = rows.groupBy("cluster").agg(F.ceil(F.count("*") / MOST_TOGETHER).alias("parts"))
+    sized = rows.join(size, "cluster")
+    a = sized.select("cluster", F.pmod(F.xxhash64("entity_id"), "parts").alias("part"), F.col("entity_id").alias("key_a"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
+    b = sized.select("cluster", every, F.col("entity_id").alias("key_b"))
+    entity = a.join(b, ["cluster", "part"]).where("key_a < key_b").select(F.lit("entity").alias("kind"), "key_a", "key_b")
+    touched = ends.join(size, "cluster").select("kind", "cluster", "rel_id", every).join(a, ["cluster", "part"])
+    return entity.union(touched.select("kind", "key_a", F.col("rel_id").alias("key_b"))).distinct()
