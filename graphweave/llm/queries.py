@@ -73,6 +73,11 @@ def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.clean(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id")
 
 
+def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """All verbatim matches of more words than shared wording has, with their places."""
+    return leakage.matches(table(spark, sf, "documents"), table(spark, sf, "eval_items")).where(f"words > {leakage.SHARED}")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return confusables.look_alike_pairs(table(spark, sf, "documents"))
 
