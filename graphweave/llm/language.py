@@ -28,18 +28,17 @@ from pyspark.sql import functions as F
 from graphweave.llm.textnorm import LOOK_ALIKE_LETTERS
 from graphweave.session import spread
 
-CODES = ("de", "en", "es", "fr", "it", "nl", "pl", "pt", "ru")
 DIMENSIONS, SEED = 2048, 20
 #: Labelled rows that the profiles are fitted on at most: 4,000, in the order of sample_id.
 MOST_SAMPLES = 4000
 LEAST_LETTERS, LEAST_FOREIGN = 40, 80
 #: Pieces that the prototypes are adjusted on: characters, passes, step, and the lead over the next language to reach.
 PIECE, EPOCHS, RATE, MARGIN = 90, 60, 0.05, 0.15
-#: Lead of a language over another, in dot product a letter, from which a paragraph clearly is in it. Names and product
-#: names inside a sentence pull a paragraph towards another language by up to 0.45, other languages lead by 0.65 or more.
-LEAD = 0.54
+#: Lead of a language's cosine over another's from which a paragraph clearly is in it. Names and product names inside a
+#: sentence pull a paragraph towards another language by about 0.08 at most, other languages lead by about 0.15 at least.
+LEAD = 0.115
 _GAP = 0  # the class of everything that is no letter; runs of it count as one
-# Usual spellings of the nine languages besides code and code with region.
+# Usual spellings of languages besides code and code with region.
 NAMES = {
     "de": "ger deu german deutsch allemand alemán tedesco duits niemiecki немецкий",
     "en": "eng english anglais englisch inglés inglese engels angielski английский",
@@ -57,13 +56,13 @@ _FENCE = re.compile(r"^[ \t]*(?:```|｀｀｀|~~~)", re.M)
 _BLANK = re.compile(r"\n\s*\n")
 
 
-def label_code(label):
-    """The code that a free language label (a column) names, or null."""
+def label_code(label, codes: tuple[str, ...]):
+    """The code of ``codes`` that a free language label (a column) names, or null."""
     plain = F.lower(F.regexp_replace(F.trim(label), r"[\s_-]+", "_"))
-    named = {n: code for code, names in NAMES.items() for n in names.split()}
+    named = {n: code for code, names in NAMES.items() if code in codes for n in names.split()} or {"": None}
     table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
     head = F.element_at(F.split(plain, "_"), 1)
-    return F.when(head.isin(*CODES), head).otherwise(F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, head)))
+    return F.when(head.isin(*codes), head).otherwise(F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, head)))
 
 
 @lru_cache(maxsize=1)
@@ -88,12 +87,13 @@ SYMBOLS = 256
 class Profiles:
     """Random letter vectors, language prototypes and the table of n-gram scores met so far."""
 
-    def __init__(self, prototypes: np.ndarray | None = None) -> None:
+    def __init__(self, prototypes: np.ndarray | None = None, codes: tuple[str, ...] = ()) -> None:
+        self.codes = codes
         draw = np.random.default_rng(SEED)
         self.letters = draw.choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
         self.prototypes = prototypes
         self.place: np.ndarray | None = None
-        self.scores = np.zeros((0, len(CODES)), np.float32)
+        self.scores = np.zeros((0, len(codes)), np.float32)
 
     def bind(self, grams: np.ndarray) -> np.ndarray:
         """The vectors of n-grams given as numbers: first letter permuted twice, second once."""
@@ -130,14 +130,18 @@ class Profiles:
 
     def fit(self, texts: list[str], labels: list[str]) -> Profiles:
         """Bundles the sample texts of each language, takes off the part that all languages share, then moves the
-        prototypes towards the pieces of samples that they miss and away from those they wrongly attract."""
-        bundles = np.array([self.bundle(self.grams([t for t, x in zip(texts, labels) if x == c])[0]) for c in CODES])
-        bundles -= bundles.mean(0)
-        pieces = [(t[at : at + PIECE], CODES.index(x)) for t, x in zip(texts, labels) for at in range(0, len(t), PIECE // 2)]
+        prototypes towards the pieces of samples that they miss and away from those they wrongly attract. The languages are
+        those of the samples."""
+        self.codes = tuple(sorted(set(labels)))
+        self.scores = np.zeros((0, len(self.codes)), np.float32)
+        bundles = np.array([self.bundle(self.grams([t for t, x in zip(texts, labels) if x == c])[0]) for c in self.codes]).reshape(-1, DIMENSIONS)
+        if len(self.codes) > 1:
+            bundles -= bundles.mean(0)
+        pieces = [(t[at : at + PIECE], self.codes.index(x)) for t, x in zip(texts, labels) for at in range(0, len(t), PIECE // 2)]
         pieces = [(t, k) for t, k in pieces if len(t) >= PIECE // 2]
         vectors = np.array([self.bundle(self.grams([t])[0]) for t, _ in pieces]).reshape(-1, DIMENSIONS)
         truth = np.array([k for _, k in pieces], int)
-        for _ in range(EPOCHS if len(pieces) else 0):
+        for _ in range(EPOCHS if len(pieces) and len(self.codes) > 1 else 0):
             unit = bundles / np.maximum(1e-9, np.linalg.norm(bundles, axis=1, keepdims=True))
             close = vectors @ unit.T
             own = close[np.arange(len(truth)), truth]
@@ -164,24 +168,24 @@ class Profiles:
             self.scores = np.concatenate([self.scores, self.bind(some).astype(np.float32) @ self.prototypes.T])
         return self.scores[self.place[grams]]
 
-    def compare(self, texts: list[str], lengths: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each text's dot products with the languages, its number of letters, and with ``lengths`` its vector's length.
+    def compare(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's cosines with the languages, its number of letters and its vector's length.
 
         n-gram vectors are all but orthogonal, so a bundle's squared length is ``DIMENSIONS`` times the sum of the
-        squared counts. Without ``lengths`` it is 1; it is the same for all languages, so no order depends on it.
+        squared counts.
         """
-        total = np.zeros((len(texts), len(CODES)), np.float32)
+        total = np.zeros((len(texts), len(self.codes)), np.float32)
         grams, owner, sizes = self.grams(texts)
         for at in range(0, len(grams), 1_000_000):
             part, who = grams[at : at + 1_000_000], owner[at : at + 1_000_000]
             first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
             total[who[first]] += np.add.reduceat(self._score(part), first, 0)
-        length = np.ones(len(texts))
-        if lengths and len(grams):
-            pairs, counts = np.unique(owner.astype(np.int64) * SYMBOLS**3 + grams, return_counts=True)
-            squared = np.bincount(pairs // SYMBOLS**3, counts.astype(float) ** 2, len(texts))
-            length = np.sqrt(np.maximum(1, squared) * DIMENSIONS)
-        return total, sizes, length
+        ordered = np.sort(owner.astype(np.int64) * SYMBOLS**3 + grams)
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, int)
+        counts = np.diff(np.r_[first, len(ordered)]).astype(float)
+        squared = np.bincount(ordered[first] // SYMBOLS**3, counts**2, len(texts)) if len(first) else np.zeros(len(texts))
+        length = np.sqrt(np.maximum(1, squared) * DIMENSIONS)
+        return total / length[:, None], sizes, length
 
 
 def paragraphs(text: str) -> list[str]:
@@ -208,76 +212,78 @@ def paragraphs(text: str) -> list[str]:
 
 
 def fit_profiles(samples: DataFrame) -> Profiles:
-    """Profiles fitted on at most ``MOST_SAMPLES`` labelled rows; the bound is the size of what comes to the driver."""
-    rows = samples.where("text is not null").orderBy("sample_id").limit(MOST_SAMPLES).select("lang", "text").collect()
+    """Profiles fitted on at most ``MOST_SAMPLES`` labelled rows; the bound is the size of what comes to the driver. Without
+    samples there are no languages, and no text has one."""
+    rows = samples.where("text is not null and lang is not null").orderBy("sample_id").limit(MOST_SAMPLES).select("lang", "text").collect()
     return Profiles().fit([r.text for r in rows], [r.lang for r in rows])
 
 
-def document_languages(documents: DataFrame, profiles: Profiles, confidence: bool = True) -> DataFrame:
+def document_languages(documents: DataFrame, profiles: Profiles) -> DataFrame:
     """``doc_id, file_hash, seg_no, lang, confidence, letters``: the main language (seg_no -1) of every document, then
     each paragraph of at least 80 letters of prose in another language, with its number.
 
-    ``confidence`` is a soft maximum of the cosines. With ``confidence`` false it is null, which saves a sort.
+    ``confidence`` is a soft maximum of the cosines.
     """
-    prototypes = profiles.prototypes
+    prototypes, codes = profiles.prototypes, profiles.codes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Profiles(prototypes)
+        own = Profiles(prototypes, codes)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                yield _label(batch.slice(at, 2000), own, confidence)
+                yield _label(batch.slice(at, 2000), own)
 
     schema = "doc_id bigint, file_hash string, seg_no int, lang string, confidence double, letters bigint"
-    return spread(documents.select("doc_id", "file_hash", "text")).mapInArrow(work, schema)
+    rows = documents.select("doc_id", "file_hash", "text")
+    return spread(rows if codes else rows.withColumn("text", F.lit(None).cast("string"))).mapInArrow(work, schema)
 
 
-def _label(batch: pa.RecordBatch, profiles: Profiles, confidence: bool) -> pa.RecordBatch:
-    texts = batch.column("text").to_pylist()
+def _label(batch: pa.RecordBatch, profiles: Profiles) -> pa.RecordBatch:
+    texts, codes = batch.column("text").to_pylist(), profiles.codes or ("",)
     parts = [paragraphs(t) if t is not None else [] for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
     number = np.concatenate([np.arange(len(p)) for p in parts] or [np.zeros(0, int)]).astype(int)
-    scores, letters, length = profiles.compare([x for p in parts for x in p], confidence)
-    best, rank = scores.argmax(1), np.sort(scores, 1)
-    # the main language: most letters among paragraphs that are long and clear, else the sum of all
-    clear = (letters >= LEAST_LETTERS) & (rank[:, -1] - rank[:, -2] >= LEAD * letters)
-    weight = np.zeros((len(texts), len(CODES)))
+    cosine, letters, length = profiles.compare([x for p in parts for x in p])
+    cosine = cosine if cosine.shape[1] else np.zeros((len(cosine), 1))
+    best, rank = cosine.argmax(1), np.sort(cosine, 1)
+    # the main language: most letters among paragraphs that are long and clear, else the bundle of all
+    second = rank[:, -2] if len(codes) > 1 else -1.0
+    clear = (letters >= LEAST_LETTERS) & (rank[:, -1] - second >= LEAD)
+    weight = np.zeros((len(texts), len(codes)))
     np.add.at(weight, (owner[clear], best[clear]), letters[clear])
-    summed = np.zeros((len(texts), len(CODES)))
-    np.add.at(summed, owner, scores)
-    main = np.where(weight.any(1), weight.argmax(1), summed.argmax(1))
-    prose = np.bincount(owner, letters, len(texts)).astype(np.int64)
+    summed = np.zeros((len(texts), len(codes)))
+    np.add.at(summed, owner, cosine * length[:, None])
     span = np.sqrt(np.bincount(owner, length**2, len(texts)))
+    mean = summed / np.maximum(1, span)[:, None]
+    main = np.where(weight.any(1), weight.argmax(1), mean.argmax(1))
+    prose = np.bincount(owner, letters, len(texts)).astype(np.int64)
     bare = [i for i, t in enumerate(texts) if t is not None and prose[i] < LEAST_LETTERS]
-    if bare:  # hardly any prose: the whole text decides
-        whole, size, long = profiles.compare([texts[i] for i in bare], confidence)
-        main[bare], prose[bare], summed[bare], span[bare] = whole.argmax(1), size, whole, long
-    told = prose >= LEAST_LETTERS
-    lead = scores.max(1, initial=0) - scores[np.arange(len(best)), main[owner]]
-    foreign = (letters >= LEAST_FOREIGN) & (lead >= LEAD * letters) & told[owner]
+    if bare and profiles.codes:  # hardly any prose: the whole text decides
+        mean[bare], prose[bare], _ = profiles.compare([texts[i] for i in bare])
+        main[bare] = mean[bare].argmax(1)
+    told = (prose >= LEAST_LETTERS) & bool(profiles.codes)
+    lead = cosine.max(1, initial=0) - cosine[np.arange(len(best)), main[owner]]
+    foreign = (letters >= LEAST_FOREIGN) & (lead >= LEAD) & told[owner]
     docs = np.r_[np.arange(len(texts)), owner[foreign]]
     seg = np.r_[np.full(len(texts), -1), number[foreign]].astype(np.int32)
     lang = np.r_[main, best[foreign]]
     size = np.r_[prose, letters[foreign]].astype(np.int64)
     known = np.r_[told, np.ones(foreign.sum(), bool)]
-    sure_of = np.full(len(docs), np.nan)
-    if confidence:
-        mean = np.r_[summed / np.maximum(1, span)[:, None], scores[foreign] / length[foreign][:, None]]
-        odds = np.exp(40 * (mean - mean.max(1, keepdims=True)))
-        sure_of = np.where(known, (odds / odds.sum(1, keepdims=True))[np.arange(len(docs)), lang], 0.0)
+    mean = np.r_[mean, cosine[foreign]]
+    odds = np.exp(40 * (mean - mean.max(1, keepdims=True)))
+    sure_of = np.where(known, (odds / odds.sum(1, keepdims=True))[np.arange(len(docs)), lang], 0.0)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id").take(pa.array(docs)), batch.column("file_hash").take(pa.array(docs)), pa.array(seg),
-            pa.array(np.array(CODES, object)[lang], pa.string(), mask=~known), pa.array(sure_of, mask=np.isnan(sure_of)),
-            pa.array(size),
+            pa.array(np.array(codes, object)[lang], pa.string(), mask=~known), pa.array(sure_of), pa.array(size),
         ],
         names=["doc_id", "file_hash", "seg_no", "lang", "confidence", "letters"],
     )
 
 
-def current_labels(metadata: DataFrame) -> DataFrame:
+def current_labels(metadata: DataFrame, codes: tuple[str, ...]) -> DataFrame:
     """``file_hash, label``: the language code that the current row of each file names, or null."""
     newest = metadata.groupBy("file_hash").agg(F.max_by(F.struct("language"), "ingested_at").alias("row"))
-    return newest.select("file_hash", label_code(F.col("row.language")).alias("label"))
+    return newest.select("file_hash", label_code(F.col("row.language"), codes).alias("label"))
 
 
 def wrong_languages(documents: DataFrame, metadata: DataFrame, samples: DataFrame) -> DataFrame:
@@ -286,12 +292,13 @@ def wrong_languages(documents: DataFrame, metadata: DataFrame, samples: DataFram
 
     Texts never leave their task: only the few columns of the result are joined with the labels.
     """
-    found = document_languages(documents, fit_profiles(samples), confidence=False).where("lang is not null")
+    profiles = fit_profiles(samples)
+    found = document_languages(documents, profiles).where("lang is not null")
     rows = found.groupBy("doc_id", "file_hash").agg(
         F.min(F.when(F.col("seg_no") == -1, F.col("lang"))).alias("main"),
         F.collect_set(F.struct("seg_no", "lang")).alias("rows"),
     )
-    cases = rows.join(current_labels(metadata), "file_hash", "left").where(
+    cases = rows.join(current_labels(metadata, profiles.codes), "file_hash", "left").where(
         (F.size("rows") > 1) | F.col("label").isNull() | (F.col("label") != F.col("main"))
     )
     return cases.select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r.seg_no", "r.lang").distinct()

@@ -107,8 +107,18 @@ def test_languages(spark):
 def test_held_out_languages():
     texts = [t * 3 for t in SAMPLES.values()]
     profiles = language.Profiles().fit(texts, list(SAMPLES))
-    scores, letters, length = profiles.compare(["the team writes the note and the crew collects", "Die Gruppe prüft die Leitungen und den Druck"], True)
-    assert [language.CODES[i] for i in scores.argmax(1)] == ["en", "de"] and (letters > 30).all() and (length > 1).all()
+    scores, letters, length = profiles.compare(["the team writes the note and the crew collects", "Die Gruppe prüft die Leitungen und den Druck"])
+    assert (abs(scores) <= 1.01).all() and [profiles.codes[i] for i in scores.argmax(1)] == ["en", "de"] and (letters > 30).all() and (length > 1).all()
+
+
+def test_languages_come_from_the_samples(spark):
+    own = {"eo": "La laboristoj kolektas la specimenojn antau la matena kunveno kaj skribas mallongan noton por la sekva teamo. ", "en": SAMPLES["en"]}
+    samples = spark.createDataFrame([(i, k, t * 3) for i, (k, t) in enumerate(own.items())], "sample_id long, lang string, text string")
+    docs = spark.createDataFrame([(1, "f", own["eo"]), (2, "g", own["en"]), (3, "h", None)], "doc_id long, file_hash string, text string")
+    metadata = spark.createDataFrame([("f", "eo", 1), ("g", "eo", 1)], "file_hash string, language string, ingested_at int")
+    assert {tuple(r) for r in language.wrong_languages(docs, metadata, samples).collect()} == {(2, -1, "en")}
+    assert language.wrong_languages(docs, metadata, samples.limit(0)).count() == 0
+    assert language.wrong_languages(docs, metadata, samples.where("lang = 'eo'")).where("lang != 'eo'").count() == 0
 
 
 # 7
