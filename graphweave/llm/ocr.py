@@ -2,8 +2,10 @@
 
 One pass reads every chunk's lines and notes lines that may be running headers, page numbers, words broken over line
 ends, words that the corpus's born-digital chunks do not know, and word counts. The rest is SQL: headers recur in their
-file; a break is real if the corpus knows the joined word rather than the compound; a rare word is misread if its
-anagram hash differs from a frequent word's by the difference of one or two confusable strings.
+file; a lone number above the file's page count is no page number, unless the file's pages refute the count; a break is real if
+the corpus knows the joined word rather than the compound; a rare word is misread if its anagram hash differs from a frequent
+word's by the difference of one or two confusable strings. Confusable are the strings of a built-in list and those that
+the corpus itself shows: the differences between its rare and frequent words that occur in many words.
 
 Null, empty and blank texts have no noise. Repeated deliveries of a chunk count once. Ties between corrections go to the
 fewest confusions, then the most frequent word, then the alphabet. Empty tables give empty results, extra columns are
@@ -28,8 +30,12 @@ CONFUSIONS = [
     ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("q", "g"), ("g", "q"),
     ("b", "h"), ("h", "b"), ("rn", "m"), ("m", "rn"), ("6", "b"), ("vv", "w"), ("w", "vv"), ("8", "b"), ("li", "h"), ("9", "g"),
 ]
-#: A misread word is at least so many times rarer than its correction; a header recurs in so many chunks of its file.
+#: A misread word is at least so many times rarer than its correction; a header recurs in so many chunks of its file, and so
+#: many different page numbers refute a page count.
 RARER, RECURS = 10, 2
+#: A difference is learned as a confusion if it is between so many rare and frequent words, and at least this share of
+#: the number of the most frequent difference. Shares keep the list short: in a corpus chance differences are far below.
+LEAST_LEARNED, LEARNED_SHARE = 5, 0.04
 _MARKS = "-‐¬\xad"
 _BROKEN = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)([{_MARKS}])[ \t]*$")
 _RIGHT = re.compile(r"[^\W\d_]+")
@@ -107,6 +113,11 @@ class Lines:
                 self.role[i] = "head"
 
 
+def _page_note(file: str, chunk: str, i: int, line: str) -> tuple:
+    number = re.search(r"\d{1,9}", line)
+    return "page", file, chunk, i, line, "bare" if _BARE.fullmatch(line) else None, int(number[0]) if number else 0
+
+
 def _notes(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Rows ``kind, file_hash, chunk_id, line, a, b, n`` of one batch of chunks."""
     digital: Counter[str] = Counter()
@@ -119,7 +130,7 @@ def _notes(batch: pa.RecordBatch) -> Iterator[tuple]:
             digital.update(_WORD.findall(text.lower()))
             for i, role in enumerate(parsed.role):
                 if role == "page":
-                    yield "page", file, chunk, i, parsed.lines[i], None, 1
+                    yield _page_note(file, chunk, i, parsed.lines[i])
             continue
         body = [(i, x) for i, x in enumerate(parsed.lines) if parsed.role[i] in ("body", "head")]
         carried = ""
@@ -147,7 +158,7 @@ def _notes(batch: pa.RecordBatch) -> Iterator[tuple]:
             unsure += [(file, chunk, i, w) for w in words]
         for i, role in enumerate(parsed.role):
             if role == "page":
-                yield "page", file, chunk, i, parsed.lines[i], None, 1
+                yield _page_note(file, chunk, i, parsed.lines[i])
     for word, n in digital.items():
         yield "digital", None, None, None, word, None, n
     for word, n in scanned.items():
@@ -192,18 +203,67 @@ def _vocabulary(found: DataFrame) -> DataFrame:
     return counts.agg(F.sum(F.when(F.col("kind") == "digital", F.col("n")).otherwise(0)).alias("digital"), F.sum("n").alias("total"))
 
 
+def pages(found: DataFrame, metadata: DataFrame | None) -> DataFrame:
+    """``chunk_id, line`` of the page numbers. ``metadata`` has ``file_hash, page_count, ingested_at``: a line of nothing but a number
+    above the current page count of its file is left out, unless other numbers of the file are above it as well. Null and 0
+    are no counts."""
+    page = found.where("kind = 'page'")
+    if metadata is None:
+        return page.select("chunk_id", "line")
+    counts = metadata.groupBy("file_hash").agg(F.max_by(F.struct("page_count"), "ingested_at")["page_count"].alias("page_count"))
+    above = page.join(counts.where("page_count > 0"), "file_hash").where(F.col("n") > F.col("page_count"))
+    refuted = above.groupBy("file_hash").agg(F.count_distinct("n").alias("numbers")).where(F.col("numbers") >= RECURS)
+    doubted = above.where("b = 'bare'").join(refuted, "file_hash", "left_anti").select("chunk_id", "line")
+    return page.select("chunk_id", "line").join(doubted, ["chunk_id", "line"], "left_anti")
+
+
+def _spans(words: DataFrame, name: str) -> DataFrame:
+    """Every one or two letters of a word, with what stands before and behind them."""
+    size = F.length("word")
+    at = F.expr("flatten(transform(array(1, 2), n -> transform(sequence(1, length(word) - n + 1), i -> struct(i AS i, n AS n))))")
+    rows = words.where(size >= 4).withColumn("s", F.explode(at))
+    return rows.select(
+        *words.columns, F.expr("substring(word, 1, s.i - 1)").alias("head"), F.expr("substring(word, s.i + s.n)").alias("tail"), F.expr("substring(word, s.i, s.n)").alias(name),
+    )
+
+
+def confusions(rare: DataFrame, known: DataFrame) -> DataFrame:
+    """``wrong, right, change``: the built-in confusions and the learned ones, with the difference of their anagram hashes.
+
+    ``rare`` has ``word, own`` and ``known`` has ``word, total``. Learned are differences of at most two letters in one place, counted over the
+    rare words that differ so from a word ``RARER`` times as frequent; an equality join on what stands around the place.
+    """
+    a = _spans(rare.select("word", "own"), "wrong")
+    b = _spans(known.select("word", "total"), "right").withColumnRenamed("word", "correct")
+    edge = F.expr("(length(wrong) > 1 OR length(right) > 1) AND (substring(wrong, 1, 1) = substring(right, 1, 1) OR right(wrong, 1) = right(right, 1))")
+    met = a.join(b, ["head", "tail"]).where((F.col("wrong") != F.col("right")) & (F.col("total") >= RARER * F.col("own")) & ~edge)
+    counted = met.groupBy("wrong", "right").agg(F.count_distinct("word").alias("n"))
+    most = counted.agg(F.max("n").alias("most"))
+    learned = counted.join(F.broadcast(most)).where((F.col("n") >= LEAST_LEARNED) & (F.col("n") >= LEARNED_SHARE * F.col("most"))).select("wrong", "right")
+    given = rare.sparkSession.createDataFrame(CONFUSIONS, "wrong string, right string")
+    every = given.union(learned).distinct()
+    return every.withColumn("change", anagram_hash(F.col("right")) - anagram_hash(F.col("wrong")))
+
+
 def corrections(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``word, correct``: the best correction of each word that is misread."""
-    spark = found.sparkSession
-    power = lambda s: sum(ord(c) ** 5 for c in s)
-    one = [(w, "", power(r) - power(w), 1, max(len(w), len(r))) for w, r in CONFUSIONS]
-    two = [(a[0], b[0], a[2] + b[2], 2, a[4] + b[4]) for i, a in enumerate(one) for b in one[i:]]
-    changes = F.broadcast(spark.createDataFrame(one + two, "wrong string, also string, change bigint, steps int, edits int"))
+    """``word, correct``: the best correction of each word that is misread.
+
+    A rare word's one and two letters are joined with the confusions, at most two of which are applied to its hash; the
+    changed hashes are joined with those of the frequent words."""
     latin = r"^[a-z0-9\x{df}-\x{24f}]{2,40}$"
     words = vocabulary.where(F.col("word").rlike(latin)).withColumn("hash", anagram_hash(F.col("word")))
-    rare = words.where("digital = 0 and not word rlike '^[0-9]+$'").select("word", "hash", F.col("total").alias("own"))
-    asked = rare.join(changes, F.expr("contains(word, wrong) and contains(word, also)")).withColumn("hash", F.col("hash") + F.col("change"))
-    known = words.where("total >= 3 and word rlike '^[^0-9]{2,}$'").select("hash", F.col("word").alias("correct"), "digital", "total")
+    rare = checkpointed(words.where("digital = 0 and not word rlike '^[0-9]+$'").select("word", "hash", F.col("total").alias("own")))
+    known = words.where("total >= 3 and word rlike '^[^0-9]{2,}$'")
+    changes = checkpointed(confusions(rare, known))
+    letters = F.expr("array_distinct(flatten(transform(array(1, 2), n -> transform(sequence(1, greatest(length(word) - n + 1, 1)), i -> substring(word, i, n)))))")
+    one = rare.select("word", "hash", "own", F.explode(letters).alias("wrong")).join(changes, "wrong")
+    one = one.withColumn("edits", F.greatest(F.length("wrong"), F.length("right"))).withColumn("pair", F.struct("wrong", "right"))
+    also = one.select("word", F.col("pair").alias("pair_b"), F.col("change").alias("change_b"), F.col("edits").alias("edits_b"))
+    two = one.join(also, "word").where("pair <= pair_b")
+    asked = one.select("word", "own", (F.col("hash") + F.col("change")).alias("hash"), F.lit(1).alias("steps"), "edits").union(
+        two.select("word", "own", F.col("hash") + F.col("change") + F.col("change_b"), F.lit(2), F.col("edits") + F.col("edits_b"))
+    )
+    known = known.select("hash", F.col("word").alias("correct"), "digital", "total")
     best = Window.partitionBy("word").orderBy("steps", F.desc("total"), "correct")
     return (
         asked.join(known, "hash")
@@ -232,15 +292,15 @@ def broken_words(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return breaks.where(F.col("mark").isin("\xad", "¬") | ~compound).select("chunk_id", "line", F.col("whole").alias("joined"))
 
 
-def noise(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, noise``: one row for each kind of noise (hyphen, header, pageno, misread) in a chunk."""
+def noise(chunks: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """``chunk_id, noise``: one row for each kind of noise (hyphen, header, pageno, misread) in a chunk; ``metadata`` as in ``pages``."""
     found = notes(chunks)
     vocabulary = checkpointed(_vocabulary(found))
     head = headers(found)
     running = found.where("kind = 'word'").select("chunk_id", "line", F.col("a").alias("word")).join(head, ["chunk_id", "line"], "left_anti")
     misread = running.join(corrections(found, vocabulary).select("word"), "word", "left_semi")
     kinds = {
-        "hyphen": broken_words(found, vocabulary), "header": head, "pageno": found.where("kind = 'page'"), "misread": misread,
+        "hyphen": broken_words(found, vocabulary), "header": head, "pageno": pages(found, metadata), "misread": misread,
     }
     rows = [df.select("chunk_id", F.lit(kind).alias("noise")) for kind, df in kinds.items()]
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).distinct()
@@ -272,7 +332,7 @@ def repair_text(text: str, hierarchy: list[str], drop: set[int], joins: dict[int
     return "\n".join(out)
 
 
-def repaired(chunks: DataFrame) -> DataFrame:
+def repaired(chunks: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """``chunk_id, text``: every chunk once, its noise repaired: headers and page numbers removed, broken words joined,
     misread words corrected, wrapped lines joined into paragraphs. A chunk's edits are one row beside its text."""
     found = notes(chunks)
@@ -283,7 +343,7 @@ def repaired(chunks: DataFrame) -> DataFrame:
     misread = found.where("kind = 'word'").select("chunk_id", "line", F.col("a").alias("word")).join(corrections(found, vocabulary), "word")
     none = F.lit(None).cast("string")
     edits = (
-        head.union(found.where("kind = 'page'").select("chunk_id", "line")).select("chunk_id", "line", F.lit("drop").alias("what"), none.alias("a"), none.alias("b"))
+        head.union(pages(found, metadata)).select("chunk_id", "line", F.lit("drop").alias("what"), none.alias("a"), none.alias("b"))
         .union(breaks.select("chunk_id", "line", F.lit("join"), "gone", none))
         .union(misread.select("chunk_id", "line", F.lit("word"), "word", "correct"))
     )

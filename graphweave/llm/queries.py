@@ -52,12 +52,12 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return ocr.noise(table(spark, sf, "chunks"))
+    return ocr.noise(table(spark, sf, "chunks"), table(spark, sf, "document_metadata"))
 
 
 def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
     """The repaired text of every chunk."""
-    return ocr.repaired(table(spark, sf, "chunks"))
+    return ocr.repaired(table(spark, sf, "chunks"), table(spark, sf, "document_metadata"))
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
