@@ -1,9 +1,10 @@
 """The k most similar vectors of every vector (problem 3).
 
 Additive quantisation: a vector is the sum of one full-dimensional codeword from each of several codebooks, trained on
-residuals and chosen by beam search. The first codebook, of a size that grows with the table, also splits the vectors
-into lists; a query looks up its nearest lists, scores their members from lookup tables and stored norms, and the best
-are ranked again by the exact cosine in double precision.
+residuals and chosen by beam search. The first two codebooks also split the vectors into lists, one for each pair of their
+words; the number of lists grows with the table, so that a list stays of one size. A query looks up its nearest lists,
+scores their members from lookup tables and stored norms, and the best are ranked again by the exact cosine in double
+precision.
 
 Only vectors of exactly ``DIMENSIONS`` finite numbers, not all zero, take part; null, short and other vectors are in no
 result. Equal vectors are searched once: a group of copies, however large, is one vector in the index with its smallest
@@ -24,13 +25,15 @@ from pyspark.sql import functions as F
 from graphweave.session import checkpointed, spread
 
 DIMENSIONS, NEIGHBOURS = 64, 5
-#: Vectors that the codebooks are fitted on at most (by hash of their id); lists hold about LIST_SIZE vectors and are at
-#: most MOST_LISTS, both bounds of what a task holds.
-MOST_TRAINING, LIST_SIZE, MOST_LISTS = 30_000, 256, 4096
-#: Codebooks after the first, words of each, beam of the encoding, lists looked up, candidates ranked exactly.
-CODEBOOKS, WORDS, BEAM, PROBES, RERANKED = 12, 256, 2, 6, 64
-#: Members and queries of one task's group; larger lists are split in both.
-MOST_MEMBERS, MOST_QUERIES = 4_000, 40_000
+#: Vectors that the codebooks are fitted on at most (by hash of their id), which bounds what comes to the driver; lists hold
+#: about LIST_SIZE vectors, and the first codebook has at most FIRST_WORDS words, the second as many as the lists then need.
+MOST_TRAINING, LIST_SIZE, FIRST_WORDS = 30_000, 256, 1024
+#: Codebooks after these two, words of each, beam of the encoding, lists looked up, candidates of a list ranked exactly.
+CODEBOOKS, WORDS, BEAM, PROBES, RERANKED = 12, 256, 4, 5, 64
+#: Members and queries of one task's group; larger lists are split in both. Copies of a vector that meet in one task.
+MOST_MEMBERS, MOST_QUERIES, MOST_COPIES = 4_000, 40_000, 50_000
+#: Words of the first codebook whose pairs with the second one's a query compares.
+NEAR_WORDS = 16
 
 
 def _nearest(points: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -54,44 +57,70 @@ def _k_means(points: np.ndarray, k: int, draw: np.random.Generator, rounds: int
 
 @dataclass(frozen=True)
 class Codebooks:
-    """The lists' words, then ``CODEBOOKS`` full-dimensional books of residual words."""
+    """Two codebooks whose pairs of words are the lists, then ``CODEBOOKS`` full-dimensional books of residual words."""
 
-    lists: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
     books: np.ndarray
 
     @staticmethod
     def fit(sample: np.ndarray, lists: int, seed: int = 11) -> Codebooks:
-        draw = np.random.default_rng(seed)
-        first = _k_means(sample, max(1, min(lists, len(sample))), draw)
+        draw, most = np.random.default_rng(seed), max(1, len(sample) // 6)
+        first = _k_means(sample, max(1, min(lists, FIRST_WORDS, most)), draw)
         rest, books = sample - first[_nearest(sample, first)], []
+        many = min(-(-lists // len(first)), most)
+        second = _k_means(rest, many, draw) if many > 1 else np.zeros((1, sample.shape[1]), sample.dtype)
+        rest = rest - second[_nearest(rest, second)]
         for _ in range(CODEBOOKS):
             book = _k_means(rest, WORDS, draw, 6)
             rest = rest - book[_nearest(rest, book)]
             books.append(book)
-        return Codebooks(first.astype(np.float32), np.array(books, np.float32))
+        return Codebooks(first.astype(np.float32), second.astype(np.float32), np.array(books, np.float32))
+
+    def centre(self, number: int) -> np.ndarray:
+        return self.first[number // len(self.second)] + self.second[number % len(self.second)]
 
     def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The list, the codes and the stored norm of each vector; a beam of partial sums is kept from book to book."""
-        near = _nearest(points, self.lists)
-        rest = (points - self.lists[near])[:, None, :]
+        near = _nearest(points, self.first)
+        rest = points - self.first[near]
+        then = _nearest(rest, self.second)
+        rest = (rest - self.second[then])[:, None, :]
+        rows = np.arange(len(points))
         codes = np.zeros((len(points), 1, 0), np.uint8)
         for book in self.books:
-            error = (rest**2).sum(2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(1)
+            error = (rest.reshape(-1, rest.shape[2]) @ (-2 * book).T).reshape(len(points), rest.shape[1], -1) + (book**2).sum(1)
+            if rest.shape[1] > 1:
+                error += (rest**2).sum(2)[:, :, None]
             flat = error.reshape(len(points), -1)
-            width = min(BEAM, flat.shape[1])
-            best = np.argpartition(flat, width - 1, 1)[:, :width] if width < flat.shape[1] else np.tile(np.arange(width), (len(flat), 1))
+            best = np.empty((len(points), min(BEAM, flat.shape[1])), np.int64)
+            for k in range(best.shape[1]):
+                best[:, k] = flat.argmin(1)
+                flat[rows, best[:, k]] = np.inf
             path, word = best // WORDS, best % WORDS
             rest = np.take_along_axis(rest, path[:, :, None], 1) - book[word]
             codes = np.concatenate([np.take_along_axis(codes, path[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
         final = (rest**2).sum(2).argmin(1)
-        rows = np.arange(len(points))
-        return near, codes[rows, final], np.linalg.norm(points - rest[rows, final], axis=1)
+        return near * len(self.second) + then, codes[rows, final], np.linalg.norm(points - rest[rows, final], axis=1)
 
     def probes(self, points: np.ndarray) -> np.ndarray:
-        """The lists in which each vector looks for others, the nearest first."""
-        close = points @ self.lists.T - 0.5 * (self.lists**2).sum(1)
-        many = min(PROBES, len(self.lists))
-        return np.argpartition(-close, many - 1, 1)[:, :many] if many < len(self.lists) else np.tile(np.arange(many), (len(points), 1))
+        """The lists in which each vector looks for others: the nearest pairs of a near word of the first codebook and any of
+        the second."""
+        close = points @ self.first.T - 0.5 * (self.first**2).sum(1)
+        words = _largest(close, NEAR_WORDS)
+        whole = np.take_along_axis(close, words, 1)[:, :, None]
+        if len(self.second) > 1:
+            second = 0.5 * (self.second**2).sum(1)
+            whole = whole + (points @ self.second.T)[:, None, :] - (self.first @ self.second.T)[words] - second
+        best = _largest(whole.reshape(len(points), -1), PROBES)
+        return np.take_along_axis(words, best // len(self.second), 1) * len(self.second) + best % len(self.second)
+
+
+def _largest(values: np.ndarray, many: int) -> np.ndarray:
+    """The places of the ``many`` largest values of each row, in any order."""
+    if many >= values.shape[1]:
+        return np.tile(np.arange(values.shape[1]), (len(values), 1))
+    return np.argpartition(values, values.shape[1] - many, 1)[:, -many:]
 
 
 def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
@@ -119,7 +148,7 @@ def fit_codebooks(vectors: DataFrame) -> Codebooks | None:
     sample = np.array([r.vec for r in rows], np.float32)
     sample /= np.linalg.norm(sample.astype(float), axis=1, keepdims=True).astype(np.float32)
     total = vectors.count()
-    return Codebooks.fit(sample, min(MOST_LISTS, max(1, total // LIST_SIZE), max(1, len(sample) // 6)))
+    return Codebooks.fit(sample, max(1, total // LIST_SIZE))
 
 
 def _index(vectors: DataFrame, books: Codebooks, kind: type) -> DataFrame:
@@ -155,7 +184,7 @@ def _search(books: Codebooks, k: int, kind: type):
             return pa.table(empty)
         exact, codes = _units(members["vec"], kind), _matrix(members["codes"], np.uint8, CODEBOOKS)
         norms, ids = members["norm"].to_numpy(), members["rep"].to_numpy()
-        centre = books.lists[members["list"][0].as_py()]
+        centre = books.centre(members["list"][0].as_py())
         wanted, asking = _units(queries["q_vec"], kind), queries["q_rep"].to_numpy()
         out = []
         for at in range(0, len(wanted), 512):
@@ -166,7 +195,7 @@ def _search(books: Codebooks, k: int, kind: type):
                 scores += tables[m][:, codes[:, m]]
             scores /= np.maximum(norms, 1e-9)
             many = min(RERANKED, len(ids))
-            best = np.argpartition(-scores, many - 1, 1)[:, :many] if many < len(ids) else np.tile(np.arange(many), (len(who), 1))
+            best = _largest(scores, many)
             similarity = np.round(np.einsum("qd,qrd->qr", some, exact[best]), 6)
             other = ids[best]
             similarity[other == who[:, None]] = -9
@@ -179,12 +208,24 @@ def _search(books: Codebooks, k: int, kind: type):
     return work
 
 
-def _lists(index: DataFrame) -> DataFrame:
-    """``list, parts, shares``: into how many parts a list's members and queries are split. At most ``MOST_LISTS`` rows."""
-    members = index.groupBy("list").agg(F.ceil(F.count("*") / MOST_MEMBERS).cast("int").alias("parts"))
-    asked = index.select(F.explode("probes").alias("list")).groupBy("list")
-    shares = asked.agg(F.ceil(F.count("*") / MOST_QUERIES).cast("int").alias("shares"))
-    return F.broadcast(members.join(shares, "list"))
+def _split_lists(index: DataFrame) -> DataFrame:
+    """``list, parts, shares``: into how many parts the members and the queries of long lists are split; other lists are left
+    out. One row in at least ``MOST_MEMBERS`` vectors, broadcast only while that is a short table."""
+    counts = index.select("list", F.lit(1).alias("m"), F.lit(0).alias("q")).union(index.select(F.explode("probes"), F.lit(0), F.lit(1)))
+    counts = counts.groupBy("list").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).where((F.col("m") > MOST_MEMBERS) | (F.col("q") > MOST_QUERIES))
+    parts = F.greatest(F.ceil(F.col("m") / MOST_MEMBERS), F.lit(1)).cast("int")
+    shares = F.greatest(F.ceil(F.col("q") / MOST_QUERIES), F.lit(1)).cast("int")
+    found = checkpointed(counts.select("list", parts.alias("parts"), shares.alias("shares")))
+    return F.broadcast(found) if found.count() <= 100_000 else found
+
+
+def _hot_vectors(vectors: DataFrame) -> DataFrame:
+    """``h, copies``: the hashes of vectors of so many rows that these are joined in parts. They have a thousandth of all
+    rows at least, so they are at most a thousand and can be broadcast."""
+    counts = checkpointed(vectors.groupBy(F.xxhash64("vec").alias("h")).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    hot = counts.where(F.col("n") > max(MOST_COPIES, total // 1000))
+    return F.broadcast(hot.select("h", F.ceil(F.col("n") / MOST_COPIES).cast("int").alias("copies")))
 
 
 def nearest(entities: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -200,12 +241,13 @@ def nearest(entities: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         return spark.createDataFrame([], "entity_id bigint, other_id bigint, similarity double, rank int")
     kind = np.float32 if dict(groups.dtypes)["vec"] == "array<float>" else np.float64
     index = checkpointed(_index(groups.select("rep", "vec"), books, kind))
-    lists = _lists(index)
-    members = index.join(lists, "list").select(
+    lists = _split_lists(index)
+    one = {"parts": F.coalesce("parts", F.lit(1)), "shares": F.coalesce("shares", F.lit(1))}
+    members = index.join(lists, "list", "left").withColumns(one).select(
         "list", F.expr("pmod(xxhash64(rep), parts)").alias("part"), F.explode(F.expr("sequence(0, shares - 1)")).alias("share"),
         "rep", "vec", "codes", "norm",
     )
-    queries = index.select("rep", "vec", F.explode("probes").alias("list")).join(lists, "list")
+    queries = index.select("rep", "vec", F.explode("probes").alias("list")).join(lists, "list", "left").withColumns(one)
     queries = queries.select(
         F.col("list").alias("q_list"), F.explode(F.expr("sequence(0L, parts - 1L)")).alias("q_part"),
         F.expr("cast(pmod(xxhash64(rep), shares) as int)").alias("q_share"), F.col("rep").alias("q_rep"), F.col("vec").alias("q_vec"),
@@ -227,7 +269,11 @@ def nearest(entities: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     own = F.expr("transform(ids, i -> struct(-1.0D AS s, i AS id))")
     asked = groups.join(spelled, "rep", "left").select("vec", F.concat(own, F.coalesce("others", F.expr("filter(transform(ids, i -> struct(-1.0D AS s, i AS id)), x -> false)"))).alias("all"))
     single = F.expr(f"slice(array_sort(filter(all, x -> x.id != entity_id)), 1, {k})")
-    rows = vectors.distinct().join(asked, "vec").select("entity_id", F.posexplode(single).alias("n", "x"))
+    hot = _hot_vectors(vectors)
+    copies = F.coalesce("copies", F.lit(1))
+    held = vectors.distinct().withColumn("h", F.xxhash64("vec")).join(hot, "h", "left").withColumn("copy", F.pmod(F.hash("entity_id"), copies))
+    asked = asked.withColumn("h", F.xxhash64("vec")).join(hot, "h", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    rows = held.join(asked.select("vec", "copy", "all"), ["vec", "copy"]).select("entity_id", F.posexplode(single).alias("n", "x"))
     return rows.select("entity_id", F.col("x.id").alias("other_id"), (-F.col("x.s")).alias("similarity"), (F.col("n") + 1).alias("rank"))
 
 
