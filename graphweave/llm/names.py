@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -313,11 +312,15 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 def _near(a: Column, b: Column) -> Column:
-    """Few enough edits for two spellings of one name; a swap of letters counts two, and may go with a third edit."""
-    edits, short = F.levenshtein(a, b, 3), F.least(F.length(a), F.length(b))
+    """Few enough edits for two spellings of one name; a swap of letters counts two, and may go with a third edit.
+
+    Most pairs are further apart than their length allows, which takes one bounded distance to see."""
+    short = F.least(F.length(a), F.length(b))
+    most = F.when(short >= 11, 3).when(short >= 7, 2).when(short >= 4, 1).otherwise(0)
     letters = F.levenshtein(*(F.array_join(F.array_sort(F.split(x, "")), "") for x in (a, b)))
-    few = (edits == 0) | ((edits == 1) & (short >= 4)) | ((edits == 2) & (short >= 7))
-    return few | F.when((edits == 3) & (short >= 11), letters <= 2).otherwise(F.lit(False))
+    within = F.call_function("levenshtein", a, b, most) >= 0
+    # conditions, not conjunctions: Spark works out what conjunctions share for every row
+    return F.when(within, F.when(short < 11, True).when(F.levenshtein(a, b, 2) >= 0, True).otherwise(letters <= 2)).otherwise(False)
 
 
 def _postings(rows: DataFrame, x: str) -> DataFrame:
@@ -357,23 +360,22 @@ def similar_forms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = checkpointed(vectors(found))
     rare = checkpointed(prefixes(rows))
-    a, b = ("block_a", "core_a"), ("block_b", "core_b")
     near = _near(F.col("core_a"), F.col("core_b"))
     # a given name that is in no list may be misspelt, and its place is a guess
     unlisted = F.col("form_a").startswith("P") & ~(F.col("listed_a") & F.col("listed_b")) & ~is_open(F.col("block_a")) & ~is_open(F.col("block_b"))
-    turned = _near(F.col(a[0]), F.col(b[1])) & _near(F.col(a[1]), F.col(b[0]))
-    agree = ((F.col("block_a") == F.col("block_b")) & near) | (unlisted & ((_near(F.col("block_a"), F.col("block_b")) & near) | turned))
+    turned = F.when(_near(F.col("block_a"), F.col("core_b")), _near(F.col("core_a"), F.col("block_b"))).otherwise(False)
+    one_block = F.when(F.col("block_a") == F.col("block_b"), True).when(unlisted, _near(F.col("block_a"), F.col("block_b"))).otherwise(False)
+    agree = F.when(one_block, near).otherwise(False) | F.when(unlisted, turned).otherwise(False)
     pairs = _met(rare, rare).where((F.col("form_a") < F.col("form_b")) & agree).select("form_a", "form_b").distinct()
     pairs = _cosines(pairs, rows)
     open_rows = rare.where(is_open(F.col("block")))
     full_rows = rare.where(~is_open(F.col("block")))
     bare = F.regexp_replace("block_a", r"[*?]", "")
-    meant = (
-        (F.col("block_a").contains("|") & F.array_contains(F.split("block_a", r"\|"), F.col("block_b")) & near)
-        | (F.col("block_a").contains("*") & F.startswith("block_b", bare) & near)
-        | (F.col("block_a").contains("?") & ((_near(bare, F.col("block_b")) & near) | (_near(bare, F.col("core_b")) & _near(F.col("core_a"), F.col("block_b")))))
-    )
-    meant = _met(open_rows, full_rows).where(F.col("form_a").startswith("P") & meant)
+    could = F.when(F.col("block_a").contains("|"), F.array_contains(F.split("block_a", r"\|"), F.col("block_b")))
+    could = could.when(F.col("block_a").contains("*"), F.startswith("block_b", bare)).otherwise(_near(bare, F.col("block_b")))
+    turned = F.when(_near(bare, F.col("core_b")), _near(F.col("core_a"), F.col("block_b"))).otherwise(False)
+    meant = F.when(could, near).otherwise(False) | F.when(F.col("block_a").contains("?"), turned).otherwise(False)
+    meant = _met(open_rows.where("kind = 'P'"), full_rows.where("kind = 'P'")).where(meant)
     meant = _cosines(meant.select("form_a", "form_b", F.levenshtein("core_a", "core_b").alias("edits")).distinct(), rows)
     meant = meant.select(F.col("form_a").alias("open"), F.col("form_b").alias("full"), "edits")
     return pairs, meant.union(_without_business(found))
@@ -404,6 +406,9 @@ def average_linkage(mentions: dict[str, int], pairs: dict[tuple[str, str], float
     The two clusters of highest average cosine between their mentions are joined as long as that is at least ``LINKAGE``;
     pairs that are not given count as 0. Ties go to the smaller names."""
     names = sorted(mentions)
+    if len(pairs) <= 1:
+        first = names[:1] if all(c >= LINKAGE for c in pairs.values()) else None
+        return {n: first[0] if first else n for n in names}
     place = {n: i for i, n in enumerate(names)}
     size, parent = np.array([float(mentions[n]) for n in names]), np.arange(len(names))
     total = np.zeros((len(names), len(names)))
@@ -489,15 +494,28 @@ def clusters(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     for x in "ab":
         grouped = grouped.join(mentions.select(F.col("form").alias(f"form_{x}"), F.col("mentions").alias(f"mentions_{x}")), f"form_{x}")
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        found = {(a, b): c for a, b, c in zip(frame.form_a, frame.form_b, frame.cosine)}
-        counts = dict(zip(frame.form_a, frame.mentions_a)) | dict(zip(frame.form_b, frame.mentions_b))
-        linked = average_linkage(counts, found)
-        return pd.DataFrame({"form": [*linked], "cluster": [*linked.values()]})
-
-    # the rows are few but each group costs Python time: spread them over the cores, which coalescing would undo
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come in the order of components; the last one of a batch may go on in the next
+        linked: dict[str, str] = {}
+        pairs_of: dict[tuple[str, str], float] = {}
+        counts: dict[str, int] = {}
+        at = None
+        for batch in batches:
+            for component, a, b, cosine, n_a, n_b in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if component != at:
+                    linked.update(average_linkage(counts, pairs_of))
+                    at, pairs_of, counts = component, {}, {}
+                pairs_of[a, b] = cosine
+                counts[a], counts[b] = n_a, n_b
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (list(linked), list(linked.values()))], names=["form", "cluster"])
+            linked = {}
+        linked = average_linkage(counts, pairs_of)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (list(linked), list(linked.values()))], names=["form", "cluster"])
+
+    columns = ["component", "form_a", "form_b", "cosine", "mentions_a", "mentions_b"]
+    # the rows are few but each component costs Python time: spread them over the cores, which coalescing would undo
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
-    near = grouped.repartition(parts, "component").groupBy("component").applyInPandas(work, "form string, cluster string")
+    near = grouped.select(*columns).repartition(parts, "component").sortWithinPartitions("component").mapInArrow(work, "form string, cluster string")
     return near.union(far) if several else near
 
 
