@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,12 +96,12 @@ def pack(tokens: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-_JAVA_TOKEN = re.compile(r"\w+|[^\w\s]")
+_TOKEN = regex.compile(TOKEN.replace(r"\x{85}", r"\x85"))
 
 
 def force_split(text: str, size: int) -> list[str]:
     """A unit over the size, cut after every ``size`` tokens."""
-    starts = [m.start() for m in _JAVA_TOKEN.finditer(text)]
+    starts = [m.start() for m in _TOKEN.finditer(text)]
     cuts = [*starts[::size], len(text)]
     return [x for x in (text[a:b].strip() for a, b in zip(cuts, cuts[1:])) if x]
 
@@ -122,7 +123,7 @@ def packed(rows: DataFrame, size: int, overlap: int, key: str = "doc_id", cut: b
             for k, section, parts in zip(frame[key], frame["section_no"], frame["units"]):
                 flat = []
                 for u in parts:
-                    flat += [(u["unit"], u["tokens"])] if u["tokens"] <= size or not cut else [(x, len(_JAVA_TOKEN.findall(x))) for x in force_split(u["unit"], size)]
+                    flat += [(u["unit"], u["tokens"])] if u["tokens"] <= size or not cut else [(x, len(_TOKEN.findall(x))) for x in force_split(u["unit"], size)]
                 for n, (a, b) in enumerate(pack([t for _, t in flat], size, overlap)):
                     out.append((k, section, n, "\n".join(x for x, _ in flat[a:b]), flat[a][0]))
             yield pd.DataFrame(out, columns=[key, "section_no", "part_no", "text", "first_unit"])
@@ -130,24 +131,94 @@ def packed(rows: DataFrame, size: int, overlap: int, key: str = "doc_id", cut: b
     return grouped.mapInPandas(work, f"{key} {kind}, section_no int, part_no int, text string, first_unit string")
 
 
-def chunk(documents: DataFrame, size: int = 512, overlap: int = 64, key: str = "file_hash") -> DataFrame:
-    """``key, chunk_id, chunk_index, text, token_count, start_char, end_char, heading_hierarchy``.
-
-    Offsets are where the first 50 characters of the chunk's first unit are found in the document from the section's start
-    on, else the section's start; they are approximate, since chunk texts are joined again.
+# the patterns of the column functions above, for text that is in a task already
+_WS = r"[\s\x0B\x85\p{Z}]"
+_HEADING = regex.compile(rf"(#{{1,6}}){_WS}+([^\n\r\x85\u2028\u2029]+)")
+_SENTENCE_END = regex.compile(rf"(?<=[.!?]){_WS}+(?=[A-Z])|(?<=\n\n)")
+_TABLE = regex.compile(r"(?m)(?:^\|[^\n]+\|$\n?)+")
+_ENDS = regex.compile(rf"\A{_WS}+|{_WS}+\Z")
+
+
+def _sections(text: str) -> Iterator[tuple[list[str], str, int]]:
+    """``headings, body, start`` of the stretches between headings, as ``sections`` has them."""
+    held: dict[int, str] = {}
+    body, start, at, begun = [], 0, 0, False
+    for line in text.split("\n"):
+        found = _HEADING.fullmatch(_ENDS.sub("", line))
+        if found:
+            if begun:
+                yield [held[n] for n in sorted(held)], "\n".join(body), start
+            level = len(found[1])
+            held = {n: t for n, t in held.items() if n < level} | {level: _ENDS.sub("", found[2])}
+            body, start = [], at
+        else:
+            body.append(line)
+        begun, at = True, at + len(line) + 1
+    yield [held[n] for n in sorted(held)], "\n".join(body), start
+
+
+def _units(text: str) -> list[str]:
+    """Sentences, and table blocks that stay whole, as ``units`` has them."""
+    out, at = [], 0
+    for table in _TABLE.finditer(text):
+        out += [*_SENTENCE_END.split(text[at : table.start()]), table[0]]
+        at = table.end()
+    out += _SENTENCE_END.split(text[at:])
+    return [x for x in (_ENDS.sub("", u) for u in out if u) if x]
+
+
+def document_parts(text: str, size: int, overlap: int) -> Iterator[tuple[str, int, int, list[str]]]:
+    """``text, tokens, start, headings`` of a document's chunks in order.
+
+    Each section with a body is led by its headings in brackets, cut into units, oversized ones of them after every ``size``
+    tokens, and packed. The start is where the first 50 characters of the first unit stand from the section's start on, else
+    the section's start."""
+    for headings, body, start in _sections(text):
+        if not _ENDS.sub("", body):
+            continue
+        lead = f"[{' > '.join(headings)}]\n" if headings else ""
+        flat = []
+        for unit in _units(lead + body):
+            tokens = len(_TOKEN.findall(unit))
+            flat += [(unit, tokens)] if tokens <= size else [(x, len(_TOKEN.findall(x))) for x in force_split(unit, size)]
+        for a, b in pack([n for _, n in flat], size, overlap):
+            joined = "\n".join(x for x, _ in flat[a:b])
+            found = text.find(flat[a][0][:50], start)
+            yield joined, len(_TOKEN.findall(joined)), found if found >= 0 else start, headings
+
+
+def chunk(documents: DataFrame, size: int = 512, overlap: int = 64, key: str = "file_hash", id_width: int = 12) -> DataFrame:
+    """``key, chunk_id, chunk_index, text, token_count, start_char, end_char, heading_hierarchy, repeated``.
+
+    A document is one row from its sections to its chunks, so nothing is shuffled; keys must be unique. Offsets are
+    approximate, since chunk texts are joined again. ``repeated`` tells that an earlier chunk of the document has the same
+    text. Ids start with ``id_width`` characters of the key: 12 as in the format, more where millions of files make such
+    starts collide. Null texts have no chunks.
     """
-    parts = prefixed(sections(documents, key))
-    rows = packed(units(parts, key), size, overlap, key)
-    rows = rows.join(parts.select(key, "section_no", "heading_hierarchy", "start_char"), [key, "section_no"])
-    rows = rows.join(documents.select(key, F.col("text").alias("whole")), key)
-    index = F.row_number().over(Window.partitionBy(key).orderBy("section_no", "part_no")) - 1
-    found = F.expr("locate(substring(first_unit, 1, 50), whole, start_char + 1)")
-    start = F.when(found > 0, found - 1).otherwise(F.col("start_char")).cast("int")
-    rows = rows.withColumns({"chunk_index": index, "start_char": start, "token_count": token_count(F.col("text"))})
-    return rows.select(
-        key, F.format_string("%s_%04d", F.substring(F.col(key).cast("string"), 1, 12), "chunk_index").alias("chunk_id"), "chunk_index",
-        "text", "token_count", "start_char", (F.col("start_char") + F.length("text")).alias("end_char"), "heading_hierarchy",
-    )
-
-
-__all__ = ["HEADING", "SENTENCE_END", "TOKEN", "chunk", "force_split", "pack", "packed", "prefixed", "sections", "units"]
+    if size <= 0 or not 0 <= overlap < size:
+        raise ChunkingError("the size must be positive and the overlap less than it")
+    kind = dict(documents.dtypes)[key]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist()):
+                seen: set[str] = set()
+                for index, (part, tokens, start, headings) in enumerate(document_parts(text, size, overlap)):
+                    bare = _ENDS.sub("", part)
+                    rows.append((name, f"{str(name)[:id_width]}_{index:04d}", index, part, tokens, start, start + len(part), headings, bare in seen))
+                    seen.add(bare)
+            columns = zip(*rows) if rows else [()] * len(_CHUNK)
+            types = [batch.schema.field(key).type, *_CHUNK.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)] if rows else [pa.array([], t) for t in types], names=[key, *_CHUNK])
+
+    schema = f"{key} {kind}, chunk_id string, chunk_index int, text string, token_count int, start_char int, end_char int, heading_hierarchy array<string>, repeated boolean"
+    return documents.where(F.col("text").isNotNull()).select(key, "text").mapInArrow(work, schema)
+
+
+_CHUNK = {
+    "chunk_id": pa.string(), "chunk_index": pa.int32(), "text": pa.string(), "token_count": pa.int32(), "start_char": pa.int32(),
+    "end_char": pa.int32(), "heading_hierarchy": pa.list_(pa.string()), "repeated": pa.bool_(),
+}
+
+__all__ = ["HEADING", "SENTENCE_END", "TOKEN", "chunk", "document_parts", "force_split", "pack", "packed", "prefixed", "sections", "units"]

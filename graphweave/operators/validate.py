@@ -33,7 +33,8 @@ def judged(chunks: DataFrame, least: int = 30, key: str = "file_hash") -> DataFr
     """``chunks`` with ``reasons``, empty for accepted ones.
 
     The rules depend on the text alone, so copies pass or fail together and the first copy of a document by index is the
-    accepted one. Null texts and counts fail as too short.
+    accepted one; where the chunks come with ``repeated`` that tells the others, and nothing is shuffled. Null texts and counts
+    fail as too short.
     """
     rows = chunks.withColumn("body", F.coalesce(strip(F.col("text")), F.lit("")))
     body = F.col("body")
@@ -43,6 +44,9 @@ def judged(chunks: DataFrame, least: int = 30, key: str = "file_hash") -> DataFr
     }
     reasons = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
     rows = rows.withColumn("reasons", reasons)
+    if "repeated" in chunks.columns:
+        copy = (F.size("reasons") == 0) & F.col("repeated")
+        return rows.withColumn("reasons", F.when(copy, F.array(F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("body", "repeated")
     first = Window.partitionBy(key, F.xxhash64("body"), "body").orderBy(F.col("chunk_index").asc_nulls_last(), "chunk_id")
     copy = (F.size("reasons") == 0) & (F.row_number().over(first) > 1)
     return rows.withColumn("reasons", F.when(copy, F.array(F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("body")

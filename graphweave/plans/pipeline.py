@@ -13,14 +13,37 @@ from graphweave.plugins import embed, hashed_words
 from graphweave.session import checkpointed, spread
 
 
+#: Hashes of files with copies that are broadcast at most.
+MOST_BROADCAST = 200_000
+
+
+def each_file_once(documents: DataFrame) -> DataFrame:
+    """One row for each ``file_hash``, of equal files the smallest row. Only the hashes are shuffled, and of the texts those of
+    files that have copies. Rows without a hash stay as they are."""
+    counts = documents.where("file_hash is not null").groupBy("file_hash").agg(F.count("*").alias("n"))
+    several = checkpointed(counts.where("n > 1").select("file_hash"))
+    many = several.count()
+    if many == 0:
+        return documents
+    several = F.broadcast(several) if many <= MOST_BROADCAST else several
+    others = [c for c in documents.columns if c != "file_hash"]
+    first = documents.join(several, "file_hash", "left_semi").groupBy("file_hash").agg(F.min(F.struct(*others)).alias("r"))
+    return documents.join(several, "file_hash", "left_anti").unionByName(first.select("file_hash", "r.*"))
+
+
 def ingest_chunks(documents: DataFrame, config: EngineConfig | None = None) -> dict[str, DataFrame]:
-    """Documents (``file_hash, text``) to the tables of documents, chunks, PART_OF and NEXT_CHUNK."""
+    """Documents (``file_hash, text``) to the tables of documents, chunks, PART_OF and NEXT_CHUNK.
+
+    Equal files are one document; with a column ``source_file`` the table ``sources`` has the names of all of them."""
     config = config or EngineConfig()
-    # written once: sections, offsets and the table of documents all start from the cleaned text
-    cleaned = checkpointed(metadata.enrich(clean.clean(spread(documents))))
+    # written once: the chunks and the table of documents both start from the cleaned text
+    cleaned = checkpointed(metadata.enrich(clean.clean(spread(each_file_once(documents)))))
     found = chunking.chunk(cleaned, config.chunk_size_tokens, config.chunk_overlap_tokens)
     kept = validate.valid(found, config.min_chunk_tokens)
-    return {"documents": cleaned, "chunks": kept, "part_of": graph.part_of(kept, cleaned), "next_chunk": graph.next_chunk(kept)}
+    tables = {"documents": cleaned, "chunks": kept, "part_of": graph.part_of(kept, cleaned), "next_chunk": graph.next_chunk(kept)}
+    if "source_file" in documents.columns:
+        tables["sources"] = documents.select("file_hash", "source_file").distinct()
+    return tables
 
 
 def ingest(documents: DataFrame, extractor: Callable[[str, str], str], embedder: Callable[[str], list[float]] = hashed_words, config: EngineConfig | None = None) -> dict[str, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphweave.functions import text as T
 from graphweave.operators import chunking, clean, context, graph, metadata, resolve, search, validate
 from graphweave.plans import oracle, pipeline
-from graphweave.session import table
+from graphweave.session import checkpointed, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -33,7 +33,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "file_hash", "text")
+    """The documents; a small table of one file is spread over the cores, since work on texts follows."""
+    return spread(table(spark, sf, "documents").select("doc_id", "file_hash", "text"))
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
