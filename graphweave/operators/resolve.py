@@ -1,7 +1,8 @@
 """Entity resolution by normal names and aliases, and what follows for edges.
 
-Mentions are ``pos, name, type, description, aliases, source_chunk_ids``; ``pos`` is their order and breaks all ties.
-Null and blank names are left out, null lists count as empty.
+Mentions are ``pos, name, type, description, aliases, source_chunk_ids``; ``pos`` is their order, a number or a struct, and breaks all
+ties. Null and blank names are left out, null lists count as empty. Where mentions have an ``embedding``, an entity has that of
+its first mention with one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from graphweave.functions.text import name_key
 from graphweave.session import checkpointed
 
 MOST_ROUNDS = 50
+#: Halvings after which nothing is left of a weight in [0, 1] in double precision, the smallest of which is 2^-1074.
+FOLDED = 1100
 
 
 def _listed(column: str) -> Column:
@@ -23,7 +26,15 @@ def _listed(column: str) -> Column:
 def _most_common(mentions: DataFrame, column: str) -> DataFrame:
     """The most frequent value of each key, the first seen among equals; counted before the keys are brought together."""
     counts = mentions.where(F.col(column).isNotNull()).groupBy("key", column).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return counts.groupBy("key").agg(F.max_by(column, F.struct("n", -F.col("first"))).alias(column))
+    return counts.groupBy("key").agg(F.min_by(column, F.struct(-F.col("n"), "first")).alias(column))
+
+
+def _embedded(df: DataFrame, order: str) -> list[Column]:
+    """The first embedding in the given order, if there are any."""
+    if "embedding" not in df.columns:
+        return []
+    found = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    return [F.min_by("embedding", F.when(found, F.col(order))).alias("embedding")]
 
 
 def grouped(mentions: DataFrame) -> DataFrame:
@@ -33,15 +44,15 @@ def grouped(mentions: DataFrame) -> DataFrame:
     spelled = rows.select("key", F.explode(F.concat(_listed("aliases"), F.array("name"))).alias("alias")).where("alias is not null").distinct()
     chunks = rows.select("key", F.explode(_listed("source_chunk_ids")).alias("chunk")).where("chunk is not null").distinct()
     whole = rows.groupBy("key").agg(
-        F.max_by(described, F.when(described.isNotNull(), F.struct(F.length(described), -F.col("pos")))).alias("description"),
-        F.count("*").alias("mentions"), F.min("pos").alias("first"),
+        F.min_by(described, F.when(described.isNotNull(), F.struct(-F.length(described), "pos"))).alias("description"),
+        F.count("*").alias("mentions"), F.min("pos").alias("first"), *_embedded(rows, "pos"),
     )
     whole = whole.join(_most_common(rows, "name"), "key").join(_most_common(rows, "type"), "key", "left")
     whole = whole.join(spelled.groupBy("key").agg(F.array_sort(F.collect_set("alias")).alias("aliases")), "key", "left")
     whole = whole.join(chunks.groupBy("key").agg(F.array_sort(F.collect_set("chunk")).alias("source_chunk_ids")), "key", "left")
     return whole.select(
         "key", "name", "type", F.coalesce("description", F.lit("")).alias("description"),
-        F.array_except(_listed("aliases"), F.array("name")).alias("aliases"), _listed("source_chunk_ids").alias("source_chunk_ids"), "mentions", "first",
+        F.array_except(_listed("aliases"), F.array("name")).alias("aliases"), _listed("source_chunk_ids").alias("source_chunk_ids"), "mentions", "first", *(["embedding"] if "embedding" in whole.columns else []),
     )
 
 
@@ -82,19 +93,19 @@ def merged(entities: DataFrame) -> DataFrame:
     entities = checkpointed(entities)
     of = components(alias_links(entities))
     rows = entities.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rank = F.struct("mentions", -F.col("first"))
+    rank = F.struct(-F.col("mentions"), "first")
     spelled = rows.select("component", F.explode(F.concat("aliases", F.array("name"))).alias("alias")).distinct()
     chunks = rows.select("component", F.explode("source_chunk_ids").alias("chunk")).distinct()
     whole = rows.groupBy("component").agg(
-        F.max_by(F.struct("key", "name", "type"), rank).alias("top"),
-        F.max_by("description", F.struct(F.length("description"), -F.col("first"))).alias("description"),
-        F.sum("mentions").alias("mentions"), F.min("first").alias("first"),
+        F.min_by(F.struct("key", "name", "type"), rank).alias("top"),
+        F.min_by("description", F.struct(-F.length("description"), "first")).alias("description"),
+        F.sum("mentions").alias("mentions"), F.min("first").alias("first"), *_embedded(rows, "first"),
     )
     whole = whole.join(spelled.groupBy("component").agg(F.array_sort(F.collect_set("alias")).alias("aliases")), "component", "left")
     whole = whole.join(chunks.groupBy("component").agg(F.array_sort(F.collect_set("chunk")).alias("source_chunk_ids")), "component", "left")
     return whole.select(
         "top.*", "description", F.array_except(_listed("aliases"), F.array("top.name")).alias("aliases"),
-        _listed("source_chunk_ids").alias("source_chunk_ids"), "mentions", "first",
+        _listed("source_chunk_ids").alias("source_chunk_ids"), "mentions", "first", *(["embedding"] if "embedding" in whole.columns else []),
     )
 
 
@@ -131,18 +142,20 @@ def dangling(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 def folded(edges: DataFrame, order: list[str]) -> DataFrame:
     """One edge for each source, target and type. Weights are averaged one after the other in the given order, as a
-    running mean of old and new; the longest description, the first among equals, stays.
+    running mean of old and new; the longest description, the first among equals, stays; ``arrived`` is the place of the last.
 
-    Such a mean counts the last weight half, the one before a quarter and so on, the first as much as the second: what lies
-    60 places behind the last changes no double. So each task keeps 60 rows of a key at most, however many edges it has.
+    Such a mean counts the last weight half, the one before a quarter and so on, the first as much as the second. The share of
+    what lies ``FOLDED`` places behind the last is no double but 0. So each task keeps so many rows of a key at most, however
+    many edges it has, and the result is that of all of them.
     """
     keys = ["source_entity", "target_entity", "relation_type"]
     back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     total = edges.groupBy(*keys).agg(
         F.count("*").alias("mentions"),
         F.min_by("description", F.struct(-F.length(F.coalesce("description", F.lit(""))), *order)).alias("description"),
+        F.max(F.struct(*order)).alias("arrived"),
     )
-    late = edges.select(*keys, *order, "weight").withColumn("_j", F.row_number().over(back)).where("_j <= 60").select(*keys, "_j", "weight")
+    late = edges.select(*keys, *order, "weight").withColumn("_j", F.row_number().over(back)).where(F.col("_j") <= FOLDED).select(*keys, "_j", "weight")
     late = late.join(total.select(*keys, "mentions"), keys)
     share = F.pow(F.lit(0.5), F.col("_j") - F.when(F.col("_j") == F.col("mentions"), 1).otherwise(0))
     weight = late.groupBy(*keys).agg(F.sum(F.col("weight") * share).alias("weight"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweave.functions.text import let, strip
+from graphweave.session import checkpointed, small
 
 # Words that are no keywords.
 STOP_WORDS = """a an the is are was were be been being have has had do does did will would could should may might shall can need must
@@ -75,7 +76,7 @@ def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = 10) -> Data
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"question_id": pa.array([], pa.int64()), "entity_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        rows, wanted = (np.array(t[c].to_pylist(), float) for t, c in ((left, "embedding"), (right, "q_embedding")))
+        rows, wanted = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1) for t, c in ((left, "embedding"), (right, "q_embedding")))
         rows /= np.linalg.norm(rows, axis=1, keepdims=True)
         wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
         ids, who, out = left["entity_id"].to_numpy(), right["question_id"].to_numpy(), []
@@ -83,7 +84,12 @@ def vector_top_k(questions: DataFrame, entities: DataFrame, k: int = 10) -> Data
         rows, ids = rows[order], ids[order]
         for at in range(0, len(wanted), 256):
             scores = np.round(wanted[at : at + 256] @ rows.T, 6)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            if scores.shape[1] > 4 * k:  # all that are as good as the k-th, then in order
+                least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+                places = [np.flatnonzero(row >= low) for row, low in zip(scores, least)]
+                best = np.array([p[np.argsort(-row[p], kind="stable")[:k]] for row, p in zip(scores, places)])
+            else:
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             out.append((np.repeat(who[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
         return pa.table({n: np.concatenate(c) for n, c in zip(("question_id", "entity_id", "score"), zip(*out))})
 
@@ -113,26 +119,33 @@ def fuzzy_matches(asked: DataFrame, entities: DataFrame, k: int = 10) -> DataFra
     """``question_id, name, score``: the first ``k`` entities by name whose name or description contains a keyword.
 
     Each keyword is looked up by its rarest three letters (two if it is that short) among those of all entities, then
-    compared: an equality join instead of all pairs. Of a keyword's entities the first ``k`` are enough for any question.
+    compared: an equality join instead of all pairs. Postings are an id and the letters; the texts are shuffled once, and only
+    to the keywords that share letters with them. Of a keyword's entities the first ``k`` are enough for any question.
     """
     width = 3
     text = F.lower(F.concat_ws("\n", "name", "description"))
     rows = entities.where("name is not null").select("name", text.alias("text")).distinct()
+    # rows of one hash are all compared, so an id need not be unique
+    rows = rows.withColumn("row", F.xxhash64("name", "text"))
 
     def grams(c: str, n: int) -> Column:
         size = F.length(c)
         return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-    index = rows.select("name", "text", F.explode(F.concat(grams("text", width), grams("text", 2))).alias("gram"))
-    often = index.groupBy("gram").agg(F.count("*").alias("n"))
-    words = asked.select("question_id", strip(F.lower("keyword")).alias("word")).where("length(word) >= 2").distinct()
+    words = checkpointed(asked.select("question_id", strip(F.lower("keyword")).alias("word")).where("length(word) >= 2").distinct())
     single = words.select("word").distinct()
-    single = single.withColumn("grams", F.when(F.length("word") >= width, grams("word", width)).otherwise(grams("word", 2)))
-    rarest = single.select("word", F.explode("grams").alias("gram")).join(often, "gram", "left")
+    lengths = [r.n for r in single.select(F.least(F.length("word"), F.lit(width)).alias("n")).distinct().collect()]  # 2, 3 or both
+    looked = single.withColumn("gram", F.explode(F.when(F.length("word") >= width, grams("word", width)).otherwise(grams("word", 2))))
+    looked = checkpointed(looked)
+    # the letters of the keywords; all others stay where they are
+    wanted = small(checkpointed(looked.select("gram").distinct()))
+    parts = [grams("text", n) for n in sorted(lengths)] or [F.array().cast("array<string>")]
+    index = checkpointed(rows.select("row", F.explode(F.concat(*parts)).alias("gram")).join(wanted, "gram", "left_semi"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = looked.join(often, "gram", "left")
     rarest = rarest.groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    # the grams looked up are bounded by the letters there are; the texts of all others stay where they are
-    index = index.join(F.broadcast(rarest.select("gram").distinct()), "gram", "left_semi")
-    hits = rarest.join(index, "gram").where("contains(text, word)").select("word", "name")
+    met = rarest.join(index, "gram").select("word", "row")
+    hits = met.join(rows, "row").where("contains(text, word)").select("word", "name")
     first = F.dense_rank().over(Window.partitionBy("word").orderBy("name"))
     hits = hits.withColumn("n", first).where(F.col("n") <= k).select("word", "name").distinct()
     found = words.join(hits, "word").select("question_id", "name").distinct()
@@ -148,18 +161,23 @@ def fused(graph: DataFrame, vector: DataFrame, graph_weight: float = 0.6, vector
     return both.withColumn("combined_score", F.round(F.col("graph_score") * graph_weight + F.col("vector_score") * vector_weight, 6))
 
 
+def _seeded(seeds: DataFrame) -> DataFrame:
+    """The seeds once, broadcast where they are few: then no edge is shuffled for them, however many edges a name has."""
+    return small(checkpointed(seeds.select("question_id", "name").where("name is not null").distinct()))
+
+
 def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """``question_id, name``: entities one edge away from a seed, in either direction, that are no seeds."""
-    both = edges.select(F.col("source_entity").alias("name"), F.col("target_entity").alias("near"))
-    both = both.union(both.select(F.col("near").alias("name"), F.col("name").alias("near"))).distinct()
-    found = seeds.select("question_id", "name").distinct().join(both, "name").select("question_id", F.col("near").alias("name")).distinct()
-    return found.join(seeds.select("question_id", "name"), ["question_id", "name"], "left_anti")
+    seeds = _seeded(seeds)
+    ways = [("source_entity", "target_entity"), ("target_entity", "source_entity")]
+    ends = [edges.join(seeds.withColumnRenamed("name", a), a).select("question_id", F.col(b).alias("name")) for a, b in ways]
+    return ends[0].union(ends[1]).where("name is not null").distinct().join(seeds, ["question_id", "name"], "left_anti")
 
 
 def incident_edges(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges with a seed at either end, once for each question."""
-    seeds = seeds.select("question_id", "name").distinct()
-    ends = [seeds.withColumnRenamed("name", side).join(edges, side).select("question_id", *edges.columns) for side in ("source_entity", "target_entity")]
+    seeds = _seeded(seeds)
+    ends = [edges.join(seeds.withColumnRenamed("name", side), side).select("question_id", *edges.columns) for side in ("source_entity", "target_entity")]
     return ends[0].union(ends[1]).distinct()
 
 

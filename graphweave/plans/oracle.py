@@ -154,6 +154,23 @@ GROUPED = f"""m AS (SELECT *, {name_key('name')} AS key FROM entities WHERE {nam
 best AS (SELECT key, arg_max(name, (n, -f)) AS name FROM (SELECT key, name, count(*) AS n, min(entity_id) AS f FROM m GROUP BY ALL) GROUP BY key)"""
 
 
+RESOLVED = f"""{GROUPED}, kinds AS (SELECT key, arg_max(type, (n, -f)) AS type FROM (SELECT key, type, count(*) AS n, min(entity_id) AS f FROM m WHERE type IS NOT NULL GROUP BY ALL) GROUP BY key),
+told AS (SELECT key, arg_max(description, (length(description), -entity_id)) AS description FROM m WHERE description <> '' GROUP BY key),
+spelled AS (SELECT key, list(DISTINCT a) AS al FROM (SELECT key, unnest(coalesce(aliases, []) || [name]) AS a FROM m) WHERE a IS NOT NULL GROUP BY key),
+held AS (SELECT key, list(DISTINCT c) AS ch FROM (SELECT key, unnest(source_chunk_ids) AS c FROM m) WHERE c IS NOT NULL GROUP BY key),
+counted AS (SELECT key, count(*) AS mentions, min(entity_id) AS first, bool_or(len(embedding) > 0) AS embedded FROM m GROUP BY key),
+ge AS (SELECT key, name, type, coalesce(description, '') AS description, list_filter(al, lambda x: x <> name) AS aliases, coalesce(ch, []) AS ch, mentions, first, embedded
+  FROM counted JOIN best USING (key) LEFT JOIN kinds USING (key) LEFT JOIN told USING (key) LEFT JOIN spelled USING (key) LEFT JOIN held USING (key)),
+al AS (SELECT DISTINCT key, {name_key('a')} AS other FROM (SELECT key, unnest(aliases) AS a FROM ge)),
+l AS (SELECT key AS a, other AS b FROM al WHERE other <> key AND other IN (SELECT key FROM ge)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), comp AS (SELECT a AS key, min(b) AS component FROM reach GROUP BY a),
+mg AS (SELECT ge.*, coalesce(component, key) AS c FROM ge LEFT JOIN comp USING (key)),
+tops AS (SELECT c, arg_min(struct_pack(key := key, name := name, type := type), (-mentions, first)) AS top, arg_min(description, (-length(description), first)) AS description,
+  sum(mentions)::BIGINT AS mentions, min(first) AS first, bool_or(embedded) AS embedded FROM mg GROUP BY c),
+sp AS (SELECT DISTINCT c, a FROM (SELECT c, unnest(aliases || [name]) AS a FROM mg)), chs AS (SELECT DISTINCT c, x FROM (SELECT c, unnest(ch) AS x FROM mg)),
+resolved AS (SELECT c, top.key AS key, top.name AS name, top.type AS type, description, mentions, first, embedded FROM tops)"""
+
+
 def _valid() -> str:
     b = strip("text")
     behind = f"CASE WHEN starts_with(body, '[') AND contains(body, ']' || chr(10)) THEN substring(body, position(']' || chr(10) IN body) + 2) ELSE body END"
@@ -207,6 +224,20 @@ def sql() -> dict[str, str]:
             l AS (SELECT key AS a, other AS b FROM al WHERE other <> key AND other IN (SELECT key FROM best)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
             reach AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
           SELECT a AS key, min(b) AS component FROM reach GROUP BY a""",
+        "resolved_entities": f"""WITH RECURSIVE {RESOLVED}
+          SELECT key, name, type, name || ': ' || coalesce(type, '') || '. ' || description AS embedding_text, mentions,
+                 (SELECT count(*) FROM sp WHERE sp.c = r.c AND a <> r.name)::INT AS n_aliases, (SELECT count(*) FROM chs WHERE chs.c = r.c)::INT AS n_chunks FROM resolved r""",
+        "resolved_edges": f"""WITH RECURSIVE {EDGES}, {RESOLVED},
+            forms AS (SELECT key, arg_max(name, (first, name)) AS name FROM (SELECT r.first, r.name, {name_key('sp.a')} AS key FROM sp JOIN resolved r USING (c)) WHERE key <> '' GROUP BY key),
+            moved AS (SELECT rel_id, coalesce(s.name, source_entity) AS source_entity, coalesce(t.name, target_entity) AS target_entity, relation_type, weight, extracted_at
+              FROM edges LEFT JOIN forms s ON s.key = {name_key('source_entity')} LEFT JOIN forms t ON t.key = {name_key('target_entity')})
+          SELECT source_entity, target_entity, relation_type, round(list_reduce(list(weight ORDER BY extracted_at, rel_id), lambda a, x: (a + x) / 2), 6) AS weight, count(*) AS mentions FROM moved
+          WHERE source_entity <> target_entity AND source_entity IN (SELECT name FROM resolved) AND target_entity IN (SELECT name FROM resolved) GROUP BY source_entity, target_entity, relation_type""",
+        "reply_entities": f"""SELECT entity_id::VARCHAR AS chunk_id, 0::BIGINT AS pos, {strip('name')} AS name, coalesce(nullif({strip('type')}, ''), 'CONCEPT') AS type, coalesce(description, '') AS description,
+            array_to_string(coalesce(aliases, []), '|') AS aliases FROM entities WHERE {strip('name')} <> ''""",
+        "reply_relationships": f"""SELECT rel_id || '/' || epoch_us(extracted_at) AS chunk_id, {strip('source_entity')} AS source_entity, {strip('target_entity')} AS target_entity, {kind('relation_type')} AS relation_type,
+            coalesce(description, '') AS description, round({weight('weight')}, 6) AS weight FROM relationships WHERE {strip('source_entity')} <> '' AND {strip('target_entity')} <> ''""",
+        "reply_tuples": f"""SELECT entity_id::VARCHAR AS chunk_id, 0 AS pos, 'entity|' || {sub(strip("coalesce(name, '')"), '^"|"' + chr(92) + 'z')} || '|' || {sub(strip("coalesce(type, '')"), '^"|"' + chr(92) + 'z')} AS fields FROM entities""",
         "edge_remap": f"""WITH {EDGES}, {GROUPED}, f AS (SELECT key, min(entity_id) AS first FROM m GROUP BY key),
             sp AS (SELECT b.name, f.first, {name_key('s.a')} AS key FROM (SELECT key, unnest(coalesce(aliases, []) || [name]) AS a FROM m) s JOIN best b USING (key) JOIN f USING (key)),
             forms AS (SELECT key, arg_max(name, (first, name)) AS name FROM sp WHERE key <> '' GROUP BY key)
@@ -223,8 +254,8 @@ def sql() -> dict[str, str]:
         "next_chunk": f"WITH {CHUNKS}, {LINKS} SELECT a AS current_chunk_id, b AS next_chunk_id FROM links",
         "part_of": "SELECT DISTINCT chunk_id, file_hash FROM chunks WHERE file_hash IN (SELECT file_hash FROM document_metadata)",
         "type_quality": f"SELECT upper(type) AS type, coalesce(upper(type) IN {('PERSON', 'ORGANIZATION', 'CONCEPT', 'TECHNOLOGY', 'LOCATION', 'EVENT', 'DATE', 'METRIC', 'DOCUMENT', 'LAW', 'PRODUCT')}, false) AS known, count(*) AS n FROM entities GROUP BY 1, 2",
-        "node_counts": f"""WITH {EDGES}, {NAMED} SELECT 'Chunk' AS label, count(DISTINCT chunk_id) AS n FROM chunks UNION ALL SELECT 'Entity', count(*) FROM named
-            UNION ALL SELECT 'Embedded', count(embedding) FROM named UNION ALL SELECT 'Document', count(DISTINCT file_hash) FROM document_metadata UNION ALL SELECT 'Edge', count(*) FROM edges""",
+        "node_counts": f"""WITH RECURSIVE {EDGES}, {RESOLVED} SELECT 'Chunk' AS label, count(DISTINCT chunk_id) AS n FROM chunks UNION ALL SELECT 'Entity', count(*) FROM resolved
+            UNION ALL SELECT 'Embedded', count(*) FROM resolved WHERE embedded UNION ALL SELECT 'Document', count(DISTINCT file_hash) FROM document_metadata UNION ALL SELECT 'Edge', count(*) FROM edges""",
         "upsert_last_wins": "SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id",
         "keyword_ngrams": f"WITH {EDGES}, src AS (SELECT rel_id, description FROM edges WHERE description IS NOT NULL), {_keyword_sql('src', 'rel_id', 'description')} SELECT rel_id, array_to_string(keywords, '|') AS keywords FROM keys",
         "question_intent": _intent(),

@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from graphweave.config import EngineConfig
 from graphweave.operators import chunking, clean, context, graph, mentions, metadata, resolve, search, validate
 from graphweave.plugins import embed, hashed_words
-from graphweave.session import checkpointed, spread
-
-
-#: Hashes of files with copies that are broadcast at most.
-MOST_BROADCAST = 200_000
+from graphweave.session import checkpointed, small, spread
 
 
 def each_file_once(documents: DataFrame) -> DataFrame:
@@ -22,10 +18,9 @@ def each_file_once(documents: DataFrame) -> DataFrame:
     files that have copies. Rows without a hash stay as they are."""
     counts = documents.where("file_hash is not null").groupBy("file_hash").agg(F.count("*").alias("n"))
     several = checkpointed(counts.where("n > 1").select("file_hash"))
-    many = several.count()
-    if many == 0:
+    if several.isEmpty():
         return documents
-    several = F.broadcast(several) if many <= MOST_BROADCAST else several
+    several = small(several)
     others = [c for c in documents.columns if c != "file_hash"]
     first = documents.join(several, "file_hash", "left_semi").groupBy("file_hash").agg(F.min(F.struct(*others)).alias("r"))
     return documents.join(several, "file_hash", "left_anti").unionByName(first.select("file_hash", "r.*"))
@@ -55,10 +50,10 @@ def ingest(documents: DataFrame, extractor: Callable[[str, str], str], embedder:
     tables = ingest_chunks(documents, config or EngineConfig.full_ingest())
     chunks = checkpointed(tables["chunks"])
     replies = checkpointed(mentions.extract(chunks, extractor))
-    place = chunks.select("chunk_id", (F.shiftleft(F.pmod(F.xxhash64("file_hash"), F.lit(1 << 20)), 40) + F.shiftleft(F.col("chunk_index").cast("bigint"), 16)).alias("at"))
+    place = chunks.select("chunk_id", "file_hash", "chunk_index")
 
     def ordered(found: DataFrame) -> DataFrame:
-        found = found.join(place, "chunk_id").withColumn("pos", F.col("at") + F.col("pos")).drop("at")
+        found = found.join(place, "chunk_id").withColumn("pos", F.struct("file_hash", "chunk_index", "pos")).drop("file_hash", "chunk_index")
         return found.withColumn("source_chunk_ids", F.array("chunk_id"))
 
     graph_tables = resolve_graph(ordered(mentions.entity_mentions(replies)), ordered(mentions.relationship_mentions(replies)))
@@ -77,7 +72,7 @@ def resolve_graph(entities: DataFrame, relationships: DataFrame) -> dict[str, Da
 def build_graph(entities: DataFrame, relationships: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
     """The graph's tables from resolved entities, edges and chunks."""
     return {
-        "entity_nodes": graph.entity_nodes(entities), "edges": graph.typed_edges(relationships, entities, ["mentions", "weight"]),
+        "entity_nodes": graph.entity_nodes(entities), "edges": graph.typed_edges(relationships, entities, ["arrived"]),
         "extracted_from": graph.extracted_from(entities, chunks), "next_chunk": graph.next_chunk(chunks),
     }
 

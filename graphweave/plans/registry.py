@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweave.functions import text as T
-from graphweave.operators import chunking, clean, context, graph, metadata, resolve, search, validate
+from graphweave.operators import chunking, clean, context, graph, mentions, metadata, resolve, search, validate
 from graphweave.plans import oracle, pipeline
 from graphweave.session import checkpointed, spread, table
 
@@ -53,10 +53,15 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
     return last.withColumns({"label": T.safe_label(kind), "relation_type": T.relation_type(kind), "weight": T.unit_weight(F.col("weight"))})
 
 
-def _named(spark: SparkSession, sf: str) -> DataFrame:
-    """One entity row for each name, the first: names are the graph's key."""
-    rows = table(spark, sf, "entities").where("name is not null")
-    return rows.groupBy("name").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "name"]), "entity_id").alias("r")).select("name", "r.*")
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "entities").select("name").where("name is not null").distinct()
+
+
+def _resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Entities after resolution, and the edges between them, folded; both written once for the steps that follow."""
+    found = checkpointed(resolve.merged(resolve.grouped(_mentions(spark, sf))))
+    edges = resolve.connected(resolve.remapped(_edges(spark, sf), resolve.surface_forms(found)), found)
+    return found.withColumn("entity_id", F.col("first")), checkpointed(resolve.folded(edges, ["extracted_at", "rel_id"]))
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,6 +176,37 @@ def json_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+def _entity_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """A reply in JSON for every entity row."""
+    told = F.struct(F.array(F.struct("name", "type", "description", "aliases")).alias("entities"))
+    return table(spark, sf, "entities").select(F.col("entity_id").cast("string").alias("chunk_id"), F.to_json(told).alias("reply"))
+
+
+@query
+def reply_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity mentions parsed from replies in JSON."""
+    found = mentions.entity_mentions(_entity_replies(spark, sf))
+    return found.select("chunk_id", "pos", "name", "type", "description", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query
+def reply_relationships(spark: SparkSession, sf: str) -> DataFrame:
+    """Relationship mentions parsed from replies in JSON within code fences."""
+    told = F.struct(F.array(F.struct("source_entity", "target_entity", "relation_type", "description", "weight")).alias("relationships"))
+    rows = table(spark, sf, "relationships").select("rel_id", "extracted_at", F.concat(F.lit("```json\n"), F.to_json(told), F.lit("\n```")).alias("reply"))
+    rows = rows.select(F.concat_ws("/", "rel_id", F.unix_micros(F.col("extracted_at").cast("timestamp"))).alias("chunk_id"), "reply")
+    found = mentions.relationship_mentions(rows)
+    return found.select("chunk_id", "source_entity", "target_entity", "relation_type", "description", F.round("weight", 6).alias("weight"))
+
+
+@query
+def reply_tuples(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of replies in delimited tuples."""
+    record = F.concat_ws("<|>", F.lit('("entity"'), F.coalesce("name", F.lit("")), F.concat(F.coalesce("type", F.lit("")), F.lit(")##\n<|COMPLETE|>")))
+    rows = table(spark, sf, "entities").select(F.col("entity_id").cast("string").alias("chunk_id"), record.alias("reply"))
+    return mentions.tuple_mentions(rows).select("chunk_id", "pos", F.array_join("fields", "|").alias("fields"))
+
+
 @query
 def weight_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "relationships").select("rel_id", "extracted_at", F.round(T.unit_weight(F.col("weight")), 6).alias("weight"))
@@ -210,9 +246,7 @@ def resolved_entities(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def resolved_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between resolved entities, folded; the order is that of extraction."""
-    found = resolve.merged(resolve.grouped(_mentions(spark, sf)))
-    edges = resolve.connected(resolve.remapped(_edges(spark, sf), resolve.surface_forms(found)), found)
-    return resolve.folded(edges, ["extracted_at", "rel_id"]).select("source_entity", "target_entity", "relation_type", F.round("weight", 6).alias("weight"), "mentions")
+    return _resolved(spark, sf)[1].select("source_entity", "target_entity", "relation_type", F.round("weight", 6).alias("weight"), "mentions")
 
 
 @query
@@ -229,12 +263,12 @@ def edge_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dangling_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.dangling(_edges(spark, sf), _named(spark, sf)).select("rel_id")
+    return resolve.dangling(_edges(spark, sf), _names(spark, sf)).select("rel_id")
 
 
 @query
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.orphans(_named(spark, sf), _edges(spark, sf)).select("name")
+    return resolve.orphans(_names(spark, sf), _edges(spark, sf)).select("name")
 
 
 # graph
@@ -242,7 +276,7 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def typed_edges(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.typed_edges(_edges(spark, sf), _named(spark, sf), ["extracted_at", "rel_id"])
+    found = graph.typed_edges(_edges(spark, sf), _names(spark, sf), ["extracted_at", "rel_id"])
     return found.select("source_entity", "label", "target_entity", "description", F.round("weight", 6).alias("weight"))
 
 
@@ -268,7 +302,7 @@ def type_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def node_counts(spark: SparkSession, sf: str) -> DataFrame:
-    entities = _named(spark, sf)
+    entities = checkpointed(resolve.merged(resolve.grouped(_mentions(spark, sf))))
     return graph.node_counts(Chunk=_chunks(spark, sf), Entity=entities, Embedded=entities.where("embedding is not null"), Document=graph.document_nodes(table(spark, sf, "document_metadata")), Edge=_edges(spark, sf))
 
 
@@ -344,7 +378,9 @@ def context_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rag_context(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: the context of every question, from vector search to passages within the budget."""
-    chunks = _chunks(spark, sf)
+    """The flagship: the context of every question, from vector search over resolved entities to passages within the budget."""
+    chunks = checkpointed(_chunks(spark, sf).select("chunk_id", "text", "file_hash", "chunk_index"))
+    entities, edges = _resolved(spark, sf)
+    typed = checkpointed(graph.typed_edges(edges, entities, ["arrived"]))
     held = chunks.select("chunk_id", "text", F.col("file_hash").alias("source_file"))
-    return pipeline.ask(_questions(spark, sf), _named(spark, sf), typed_edges(spark, sf), held, graph.next_chunk(chunks))
+    return pipeline.ask(_questions(spark, sf), entities, typed, held, graph.next_chunk(chunks))

@@ -26,6 +26,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of few short columns that are broadcast at most.
+MOST_BROADCAST = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``MOST_BROADCAST`` rows, which is counted; else as it is, for a shuffle join.
+    Give it a table that is written already, or the count works it out twice."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut.
 
