@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphweave.config import EngineConfig
 from graphweave.operators import chunking, clean, context, graph, mentions, metadata, resolve, search, validate
-from graphweave.plugins import embed, hashed_words
+from graphweave.plugins import answers, embed, hashed_words
 from graphweave.session import checkpointed, small, spread
 
 
@@ -59,7 +59,10 @@ def ingest(documents: DataFrame, extractor: Callable[[str, str], str], embedder:
     graph_tables = resolve_graph(ordered(mentions.entity_mentions(replies)), ordered(mentions.relationship_mentions(replies)))
     entities = checkpointed(embed(resolve.embedding_text(graph_tables["entities"]), "embedding_text", embedder))
     edges = checkpointed(graph_tables["relationships"])
-    return tables | {"chunks": chunks, "replies": replies, "entities": entities, "relationships": edges} | build_graph(entities, edges, chunks)
+    tables |= {"chunks": chunks, "replies": replies, "entities": entities, "relationships": edges}
+    summaries = replies.select("chunk_id", mentions.parse_reply(F.col("reply"))["summary"].alias("summary")).where("summary is not null")
+    nodes = {"chunk_nodes": graph.chunk_nodes(chunks, summaries), "document_nodes": tables["documents"].drop("text")}
+    return tables | nodes | build_graph(entities, edges, chunks)
 
 
 def resolve_graph(entities: DataFrame, relationships: DataFrame) -> dict[str, DataFrame]:
@@ -96,3 +99,24 @@ def ask(questions: DataFrame, entities: DataFrame, edges: DataFrame, chunks: Dat
     found = search.connected_chunks(hits, graph.extracted_from(entities, chunks))
     passages = search.expanded_chunks(found, links).join(chunks.select("chunk_id", "text", "source_file"), "chunk_id")
     return context.contexts(told, search.incident_edges(hits, edges), passages, config.context_tokens, questions)
+
+
+def answer(questions: DataFrame, stored: dict[str, DataFrame], embedder: Callable[[str], list[float]], generate: Callable[[str], str], config: EngineConfig | None = None) -> DataFrame:
+    """``question_id, question, context, answer, error`` for ``question_id, question`` over the tables that an ingest has stored.
+
+    Without entities the passages are those that hold the question's keywords. A failed answer is its row's error."""
+    config = config or EngineConfig()
+    questions = checkpointed(embed(questions, "question", embedder))
+    held = stored["chunks"].select("chunk_id", "text", F.col("file_hash").alias("source_file"))
+    if "entities" in stored and "edges" in stored:
+        entities = stored["entities"].withColumn("entity_id", F.xxhash64("name"))
+        found = ask(questions, entities, stored["edges"], held, stored["next_chunk"], config)
+    else:
+        asked = questions.select("question_id", F.explode(search.keywords(F.col("question"))).alias("keyword"))
+        hits = search.fuzzy_matches(asked, held.select(F.col("chunk_id").alias("name"), F.col("text").alias("description")), config.top_k)
+        passages = hits.select("question_id", F.col("name").alias("chunk_id"), F.lit(0).alias("hop")).join(held, "chunk_id")
+        none = questions.limit(0).select("question_id", *[F.lit("").alias(c) for c in ("name", "type", "description")], F.lit(0.0).alias("combined_score"))
+        edges = questions.limit(0).select("question_id", *[F.lit("").alias(c) for c in ("source_entity", "label", "target_entity", "description")])
+        found = context.contexts(none, edges, passages, config.context_tokens, questions)
+    told = checkpointed(questions.select("question_id", "question").join(found.select("question_id", "context"), "question_id"))
+    return told.join(answers(told, generate), "question_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -60,6 +62,19 @@ def extractive_answer(prompt: str) -> str:
     return max(parts, key=lambda p: (len(asked & set(p.lower().split())), -len(p)), default="")
 
 
+def capitalised_names(chunk_id: str, text: str) -> str:
+    """A reply in the extractor's format without a model: runs of two or more capitalised words are concepts, and those of one
+    line are related. The default extractor, a stand-in."""
+    found: dict[str, dict] = {}
+    edges = []
+    for line in text.split("\n"):
+        names = list(dict.fromkeys(re.findall(r"\b[^\W\d_a-z]\w+(?: [^\W\d_a-z]\w+)+", line)))
+        for name in names:
+            found.setdefault(name, {"name": name, "type": "CONCEPT", "description": line.strip()[:200], "aliases": []})
+        edges += [{"source_entity": a, "target_entity": b, "relation_type": "RELATED_TO", "description": "", "weight": 0.5} for a, b in zip(names, names[1:])]
+    return json.dumps({"entities": list(found.values()), "relationships": edges, "summary": text.strip()[:200], "keywords": []})
+
+
 def answers(contexts: DataFrame, generate: Callable[[str], str] = extractive_answer) -> DataFrame:
     """``question_id, answer, error`` from ``question_id, question, context``; a failure is its row's error."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ def read_pdf(spark: SparkSession, path: str, convert: Callable[[bytes], dict] |
 
 
 def write_markdown(documents: DataFrame, path: str) -> None:
-    """One text file a document, in a folder named by its ``file_hash``."""
-    documents.select("file_hash", "text").write.mode("overwrite").partitionBy("file_hash").option("lineSep", "\n").text(path)
+    """The documents' texts as rows of ``file_hash, text``: one file a document would be too many for any file system."""
+    documents.select("file_hash", "text").write.mode("overwrite").parquet(path)
 
 
 def chunks_json(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -66,3 +67,25 @@ def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "overwrite
 
 def read_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def read_stored(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that an ingest has left under ``path``; those that it did not write are missing."""
+    found = {}
+    for name in ("documents", "chunks", "next_chunk", "entities", "edges"):
+        try:
+            found[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException:
+            continue
+    if "chunks" not in found:
+        raise DocumentLoadError(f"nothing is stored under {path}")
+    return found
+
+
+def write_json(spark: SparkSession, path: str) -> None:
+    """The exports: ``chunks_json``, a line a document, and of the graph ``entities_json`` and ``relationships_json``."""
+    stored = read_stored(spark, path)
+    chunks_json(stored["documents"], stored["chunks"]).select("json").write.mode("overwrite").text(f"{path}/chunks_json")
+    for name, out in (("entities", "entities_json"), ("edges", "relationships_json")):
+        if name in stored:
+            stored[name].write.mode("overwrite").json(f"{path}/{out}")

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from graphweave import cli
+from graphweave import cli, plugins
 from graphweave.config import EngineConfig
 from graphweave.errors import DocumentLoadError
 from graphweave.plans import pipeline
@@ -77,6 +77,37 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert "Flow Metering" in capsys.readouterr().out
 
 
+def _broken(prompt):
+    raise OSError("no answer")
+
+
+def test_command_line_with_entities(spark, tmp_path, capsys, monkeypatch):
+    folder, out = tmp_path / "docs", str(tmp_path / "graph")
+    folder.mkdir()
+    body = "The Flow Meter belongs to the North Station and is read by the crew of the night shift every morning before the handover begins. "
+    (folder / "a.md").write_text("# Flow Metering\n" + body * 4)
+    (folder / "copy.md").write_text("# Flow Metering\n" + body * 4)
+    assert cli.main(["ingest", str(folder), out, "--clear-graph", "--json"]) == 0
+    assert "1 chunks" in capsys.readouterr().out
+    assert {r["name"] for r in spark.read.parquet(f"{out}/entity_nodes").collect()} >= {"Flow Metering", "North Station"}
+    assert spark.read.parquet(f"{out}/chunk_nodes").first().summary and spark.read.parquet(f"{out}/sources").count() == 2
+    assert spark.read.json(f"{out}/relationships_json").count() >= 1 and spark.read.text(f"{out}/chunks_json").count() == 1
+    assert cli.main(["query", "Where is the Flow Meter?", out]) == 0
+    shown = capsys.readouterr().out
+    assert "The Flow Meter belongs" in shown and "=== KEY RELATIONSHIPS ===\n- The Flow Meter --[RELATED_TO]--> North Station" in shown
+    (tmp_path / "questions.txt").write_text("What is the North Station?\n\nWhat is the North Station?\nWho reads it?\n")
+    assert cli.main(["qa", out, str(tmp_path / "questions.txt")]) == 0
+    rows = spark.read.parquet(f"{out}/answers").collect()
+    assert len(rows) == 2 and all(r.answer and r.error is None for r in rows)
+    assert cli.main(["query", "x", str(tmp_path / "none")]) == 1
+
+
+def test_failed_answers_stay_with_their_question(spark):
+    contexts = spark.createDataFrame([(1, "q", "c")], "question_id long, question string, context string")
+    row = plugins.answers(contexts, plugins.with_retries(_broken, 2, 0.0)).first()
+    assert row.answer is None and row.error == "no answer"
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("CHUNK_SIZE_TOKENS", "100")
     monkeypatch.setenv("TOP_K", "0")
@@ -92,8 +123,14 @@ def test_stream_upserts(spark, tmp_path):
     stream = spark.readStream.schema("file_hash string, text string, ingested_at timestamp").parquet(str(tmp_path / "in"))
     done = ingest.upsert_stream(ingest.stream_documents(stream), str(tmp_path / "out"), str(tmp_path / "cp"), ["file_hash"], "ingested_at")
     done.awaitTermination(120)
-    last = max((tmp_path / "out").glob("version=*"))
-    assert spark.read.parquet(str(last)).count() == 2
+    assert ingest.read_latest(spark, str(tmp_path / "none")) is None
+    assert ingest.read_latest(spark, str(tmp_path / "out")).count() == 2
+    # a stream with a new checkpoint goes on from the last version
+    more = spark.createDataFrame([("f3", "text three", datetime(2025, 1, 3))], "file_hash string, text string, ingested_at timestamp")
+    more.write.parquet(str(tmp_path / "in2"))
+    stream = spark.readStream.schema("file_hash string, text string, ingested_at timestamp").parquet(str(tmp_path / "in2"))
+    ingest.upsert_stream(ingest.stream_documents(stream), str(tmp_path / "out"), str(tmp_path / "cp2"), ["file_hash"], "ingested_at").awaitTermination(120)
+    assert ingest.read_latest(spark, str(tmp_path / "out")).count() == 3 and ingest.finished(spark, str(tmp_path / "out")).count() == 2
 
 
 @pytest.mark.parametrize("name", ["doc_sha256", "sections", "sentences", "entity_group", "edge_fold", "typed_edges", "fuzzy_match", "vector_topk", "next_chunk"])
