@@ -49,6 +49,7 @@ _PAGE = re.compile(
 _BARE = re.compile(r"\s*(?:\d{1,4}|[ivxlc]{1,7})\s*", re.I)
 _BODY = re.compile(r"\||[ \t]*[-*+] |```|\w+\(|#{1,6} |\[.*\]$")
 _ABBREVIATED = re.compile(r"\b(?:inc|ltd|co|corp|llc|no)\.$", re.I)
+_LETTERS, _INSIDE = re.compile(r"[^\W\d_][^\W_]*"), re.compile(r"(\w+)[.?!:;,] +\w")
 _STRONG = re.compile(r"©|·| — |^\s*\d+ \| |\s{3}\d+\s*$")
 _FOLD = [("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("cl", "d")]
 _FOLD_LETTERS = str.maketrans("e" "0a" "f" "1l" "5" "q9" "6b8", "c" "oo" "t" "ii" "s" "gg" "hhh")
@@ -65,13 +66,15 @@ def fold_line(line: str) -> str:
 
 def _titled(line: str) -> bool:
     """The words of some length start with capitals, and no sentence ends in the line."""
-    words = [w for w in re.findall(r"[^\W\d_][^\W_]*", line) if len(w) > 3]
-    ends = re.search(r"[.?!:;,]$", line) and not _ABBREVIATED.search(line)
-    inside = [m for m in re.finditer(r"(\w+)[.?!:;,] +\w", line) if m[1].lower() not in ("inc", "ltd", "co", "corp", "llc", "no")]
-    if not words or len(words) > 9 or ends or inside or line.lstrip()[:1].islower():
+    if line.lstrip()[:1].islower() or (line[-1:] in tuple(".?!:;,") and not _ABBREVIATED.search(line)):
+        return False
+    words = [w for w in _LETTERS.findall(line) if len(w) > 3]
+    if not words or len(words) > 9:
         return False
     capitals = sum(w[0].isupper() or w[0].isdigit() for w in words)
-    return capitals >= (0.5 if _STRONG.search(line) else 1.0) * len(words)
+    if capitals < (0.5 if _STRONG.search(line) else 1.0) * len(words):
+        return False
+    return all(m[1].lower() in ("inc", "ltd", "co", "corp", "llc", "no") for m in _INSIDE.finditer(line))
 
 
 class Lines:
@@ -149,7 +152,7 @@ def _notes(batch: pa.RecordBatch) -> Iterator[tuple]:
                         unsure.append((file, chunk, i, whole))
                         line = line[right.end() :]
                     carried = ""
-                broken = _BROKEN.search(line)
+                broken = _BROKEN.search(line) if line.rstrip(" \t").endswith(tuple(_MARKS)) else None
                 if broken:
                     carried = broken[1] + broken[2]
                     line = line[: broken.start()]
@@ -237,9 +240,9 @@ def confusions(rare: DataFrame, known: DataFrame) -> DataFrame:
     b = _spans(known.select("word", "total"), "right").withColumnRenamed("word", "correct")
     edge = F.expr("(length(wrong) > 1 OR length(right) > 1) AND (substring(wrong, 1, 1) = substring(right, 1, 1) OR right(wrong, 1) = right(right, 1))")
     met = a.join(b, ["head", "tail"]).where((F.col("wrong") != F.col("right")) & (F.col("total") >= RARER * F.col("own")) & ~edge)
-    counted = met.groupBy("wrong", "right").agg(F.count_distinct("word").alias("n"))
-    most = counted.agg(F.max("n").alias("most"))
-    learned = counted.join(F.broadcast(most)).where((F.col("n") >= LEAST_LEARNED) & (F.col("n") >= LEARNED_SHARE * F.col("most"))).select("wrong", "right")
+    counted = checkpointed(met.groupBy("wrong", "right").agg(F.count_distinct("word").alias("n")))
+    most = counted.agg(F.max("n").alias("most")).first().most or 0
+    learned = counted.where(F.col("n") >= max(LEAST_LEARNED, LEARNED_SHARE * most)).select("wrong", "right")
     given = rare.sparkSession.createDataFrame(CONFUSIONS, "wrong string, right string")
     every = given.union(learned).distinct()
     return every.withColumn("change", anagram_hash(F.col("right")) - anagram_hash(F.col("wrong")))
