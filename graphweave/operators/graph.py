@@ -13,10 +13,13 @@ ENTITY_TYPES = ("PERSON", "ORGANIZATION", "CONCEPT", "TECHNOLOGY", "LOCATION", "
 
 
 def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key from both tables; ``order`` is a column that grows with later writes."""
+    """The last row of each key from both tables; ``order`` is a column that grows with later writes. Of different rows at the
+    same place one stays, by a hash of the whole row."""
     rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    last = F.max_by(F.struct(*rows.columns), F.struct(order, F.to_json(F.struct(*rows.columns))))
-    return rows.groupBy(*keys).agg(last.alias("_row")).select("_row.*")
+    others = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*others), F.struct(order, F.xxhash64(F.to_json(F.struct(*rows.columns)))))
+    # the keys are those of the groups, so that a filter on them comes before the grouping
+    return rows.groupBy(*keys).agg(last.alias("_row")).select(*[c if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
 
 
 def check_key(df: DataFrame, keys: list[str]) -> DataFrame:

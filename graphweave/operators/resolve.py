@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphweave.errors import EntityResolutionError
 from graphweave.functions.text import name_key
-from graphweave.session import checkpointed
+from graphweave.session import checkpointed, small
 
 MOST_ROUNDS = 50
 #: Halvings after which nothing is left of a weight in [0, 1] in double precision, the smallest of which is 2^-1074.
@@ -117,7 +117,9 @@ def surface_forms(entities: DataFrame) -> DataFrame:
 
 
 def remapped(edges: DataFrame, forms: DataFrame) -> DataFrame:
-    """``edges`` with both endpoints as entity names; unknown ones stay as they are."""
+    """``edges`` with both endpoints as entity names; unknown ones stay as they are. Few forms are broadcast, so that the edges,
+    and those of one frequent endpoint, stay where they are."""
+    forms = small(checkpointed(forms.select("key", "name")))
     for side in ("source_entity", "target_entity"):
         known = forms.select(F.col("key").alias("_key"), F.col("name").alias("_name"))
         edges = edges.withColumn("_key", name_key(F.col(side))).join(known, "_key", "left")
@@ -128,8 +130,9 @@ def remapped(edges: DataFrame, forms: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """The edges between two different known entities."""
     edges = edges.where("source_entity != target_entity")
+    names = small(checkpointed(entities.select("name").where("name is not null").distinct()))
     for side in ("source_entity", "target_entity"):
-        edges = edges.join(entities.select(F.col("name").alias(side)), side, "left_semi")
+        edges = edges.join(names.withColumnRenamed("name", side), side, "left_semi")
     return edges
 
 

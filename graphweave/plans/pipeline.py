@@ -97,7 +97,10 @@ def ask(questions: DataFrame, entities: DataFrame, edges: DataFrame, chunks: Dat
     near = search.neighbours(hits, edges).select("question_id", "name", F.lit(0.0).alias("combined_score"))
     told = hits.select("question_id", "name", "combined_score").union(near).join(entities.select("name", "type", "description"), "name")
     found = search.connected_chunks(hits, graph.extracted_from(entities, chunks))
-    passages = search.expanded_chunks(found, links).join(chunks.select("chunk_id", "text", "source_file"), "chunk_id")
+    found = checkpointed(search.expanded_chunks(found, links))
+    # the texts of other chunks are neither deduplicated nor shuffled
+    wanted = small(checkpointed(found.select("chunk_id").distinct()))
+    passages = found.join(chunks.select("chunk_id", "text", "source_file").join(wanted, "chunk_id", "left_semi"), "chunk_id")
     return context.contexts(told, search.incident_edges(hits, edges), passages, config.context_tokens, questions)
 
 

@@ -379,8 +379,9 @@ def context_budget(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rag_context(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the context of every question, from vector search over resolved entities to passages within the budget."""
-    chunks = checkpointed(_chunks(spark, sf).select("chunk_id", "text", "file_hash", "chunk_index"))
+    light = table(spark, sf, "chunks").select("chunk_id", "file_hash", "chunk_index", "ingested_at")
+    light = checkpointed(graph.upsert(None, light, ["chunk_id"], "ingested_at"))
+    held = _chunks(spark, sf).select("chunk_id", "text", F.col("file_hash").alias("source_file"))
     entities, edges = _resolved(spark, sf)
     typed = checkpointed(graph.typed_edges(edges, entities, ["arrived"]))
-    held = chunks.select("chunk_id", "text", F.col("file_hash").alias("source_file"))
-    return pipeline.ask(_questions(spark, sf), entities, typed, held, graph.next_chunk(chunks))
+    return pipeline.ask(_questions(spark, sf), entities, typed, held, graph.next_chunk(light))
