@@ -93,3 +93,17 @@ def test_counts_and_provenance(spark):
     chunks = spark.createDataFrame([("c1", "f")], "chunk_id string, file_hash string")
     assert [tuple(r) for r in graph.extracted_from(entities, chunks).collect()] == [("a", "c1")]
     assert {tuple(r) for r in graph.node_counts(A=entities, B=chunks.where(F.lit(False))).collect()} == {("A", 2), ("B", 0)}
+
+
+def test_fold_keeps_what_a_double_keeps(spark):
+    rows = [("a", "b", "T", 1.0, "d", i, None) for i in range(1)] + [("a", "b", "T", 0.0, "", i, None) for i in range(1, 100)]
+    edges = spark.createDataFrame(rows, "source_entity string, target_entity string, relation_type string, weight double, description string, pos long, source_chunk_ids array<string>")
+    row = resolve.folded(edges, ["pos"]).first()
+    assert row.weight == 0.5**99 and row.mentions == 100 and row.description == "d" and row.arrived.pos == 99
+
+
+def test_resolved_entities_keep_every_mention(spark):
+    rows = [(1, "Flow Meter", "T", "", ["FM"], ["c1"], None), (2, "flow meter", "T", "long text", None, ["c2"], [1.0]), (3, "FM", "T", "", None, ["c3"], [2.0])]
+    found = resolve.merged(resolve.grouped(spark.createDataFrame(rows, "pos long, name string, type string, description string, aliases array<string>, source_chunk_ids array<string>, embedding array<double>"))).collect()
+    assert len(found) == 1 and found[0]["name"] == "Flow Meter" and found[0].mentions == 3 and found[0].embedding == [1.0]
+    assert found[0].source_chunk_ids == ["c1", "c2", "c3"] and set(found[0].aliases) == {"FM", "flow meter"}
