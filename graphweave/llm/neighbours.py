@@ -222,7 +222,7 @@ def _split_lists(index: DataFrame) -> DataFrame:
 def _hot_vectors(vectors: DataFrame) -> DataFrame:
     """``h, copies``: the hashes of vectors of so many rows that these are joined in parts. They have a thousandth of all
     rows at least, so they are at most a thousand and can be broadcast."""
-    counts = checkpointed(vectors.groupBy(F.xxhash64("vec").alias("h")).agg(F.count("*").alias("n")))
+    counts = checkpointed(vectors.groupBy("h").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
     hot = counts.where(F.col("n") > max(MOST_COPIES, total // 1000))
     return F.broadcast(hot.select("h", F.ceil(F.col("n") / MOST_COPIES).cast("int").alias("copies")))
@@ -230,11 +230,12 @@ def _hot_vectors(vectors: DataFrame) -> DataFrame:
 
 def nearest(entities: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """``entity_id, other_id, similarity, rank``: the ``k`` most similar others of every row that takes part."""
-    vectors = valid_vectors(entities)
+    # the hash stands first in all keys: rows are sorted by it and arrays compared only where it is equal
+    vectors = valid_vectors(entities).withColumn("h", F.xxhash64("vec"))
     spark = entities.sparkSession
-    order = Window.partitionBy("vec").orderBy("entity_id")
+    order = Window.partitionBy("h", "vec").orderBy("entity_id")
     first = vectors.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k + 1)
-    groups = first.groupBy("vec").agg(F.array_sort(F.collect_set("entity_id")).alias("ids"))
+    groups = first.groupBy("h", "vec").agg(F.array_sort(F.collect_set("entity_id")).alias("ids"))
     groups = checkpointed(groups.withColumn("rep", F.element_at("ids", 1)))
     books = fit_codebooks(groups.select(F.col("rep").alias("entity_id"), "vec"))
     if books is None:
@@ -267,13 +268,13 @@ def nearest(entities: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     )
     # copies of a vector have each other at similarity 1; at most k + 1 ids of a group are ever needed
     own = F.expr("transform(ids, i -> struct(-1.0D AS s, i AS id))")
-    asked = groups.join(spelled, "rep", "left").select("vec", F.concat(own, F.coalesce("others", F.expr("filter(transform(ids, i -> struct(-1.0D AS s, i AS id)), x -> false)"))).alias("all"))
+    asked = groups.join(spelled, "rep", "left").select("h", "vec", F.concat(own, F.coalesce("others", F.expr("filter(transform(ids, i -> struct(-1.0D AS s, i AS id)), x -> false)"))).alias("all"))
     single = F.expr(f"slice(array_sort(filter(all, x -> x.id != entity_id)), 1, {k})")
     hot = _hot_vectors(vectors)
     copies = F.coalesce("copies", F.lit(1))
-    held = vectors.distinct().withColumn("h", F.xxhash64("vec")).join(hot, "h", "left").withColumn("copy", F.pmod(F.hash("entity_id"), copies))
-    asked = asked.withColumn("h", F.xxhash64("vec")).join(hot, "h", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    rows = held.join(asked.select("vec", "copy", "all"), ["vec", "copy"]).select("entity_id", F.posexplode(single).alias("n", "x"))
+    held = vectors.dropDuplicates(["entity_id", "h", "vec"]).join(hot, "h", "left").withColumn("copy", F.pmod(F.hash("entity_id"), copies))
+    asked = asked.join(hot, "h", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    rows = held.join(asked.select("h", "vec", "copy", "all"), ["h", "copy", "vec"]).select("entity_id", F.posexplode(single).alias("n", "x"))
     return rows.select("entity_id", F.col("x.id").alias("other_id"), (-F.col("x.s")).alias("similarity"), (F.col("n") + 1).alias("rank"))
 
 
