@@ -116,6 +116,30 @@ units AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos0,
           FROM (SELECT doc_id, pos0, k, {strip('unit')} AS u FROM cut) WHERE u <> '')"""
 
 
+def _chunks(size: int, overlap: int) -> str:
+    """Sections led by their headings, units of them, oversized units cut, then for every unit as a first one the last that fits and
+    where the next chunk starts; the walk over these from unit 0 gives the chunks."""
+    units = _units().replace("FROM documents", "FROM src")
+    found = "strpos(substring(d.text, p.start_char + 1), substring(f.text, 1, 50))"
+    return rf"""WITH RECURSIVE sec AS ({_sections()}),
+src AS (SELECT doc_id || '/' || section_no AS doc_id, doc_id AS doc, section_no, start_char, CASE WHEN headings <> '' THEN '[' || headings || ']' || chr(10) ELSE '' END || body_text AS text, headings
+  FROM sec WHERE {strip('body_text')} <> ''), {units},
+toks AS (SELECT doc_id, unit_no, regexp_extract_all(unit, '(?:{TOKEN}){WS}*') AS t FROM units WHERE tokens > {size}),
+flat0 AS (SELECT doc_id, unit_no, 0 AS j, unit AS text, tokens FROM units WHERE tokens <= {size}
+  UNION ALL SELECT doc_id, unit_no, j, {strip(f"array_to_string(t[j * {size} + 1:(j + 1) * {size}], '')")}, least({size}, len(t) - j * {size}) FROM (SELECT *, unnest(range((len(t) + {size - 1}) // {size})) AS j FROM toks)),
+flat AS (SELECT doc_id AS k, row_number() OVER w - 1 AS n, text, tokens, sum(tokens) OVER w - tokens AS s0 FROM flat0 WINDOW w AS (PARTITION BY doc_id ORDER BY unit_no, j)),
+nexts AS (SELECT a.k, a.n AS first, greatest(a.n + 1, coalesce(max(b.n) + 1, 0)) AS last FROM flat a LEFT JOIN flat b ON a.k = b.k AND b.n >= a.n AND b.s0 + b.tokens - a.s0 <= {size} GROUP BY a.k, a.n),
+back AS (SELECT x.k, x.first, min(b.n) AS n FROM nexts x JOIN flat l ON l.k = x.k AND l.n = x.last JOIN flat b ON b.k = x.k AND b.n > x.first AND b.n < x.last AND l.s0 - b.s0 <= {overlap} GROUP BY x.k, x.first),
+steps AS (SELECT x.k, x.first, CASE WHEN l.s0 - coalesce(b.s0, l.s0) + l.tokens <= {size} THEN coalesce(b.n, x.last) ELSE x.last END AS nxt
+  FROM nexts x JOIN flat l ON l.k = x.k AND l.n = x.last LEFT JOIN back c ON c.k = x.k AND c.first = x.first LEFT JOIN flat b ON b.k = x.k AND b.n = c.n),
+walk AS (SELECT DISTINCT k, 0::BIGINT AS part, 0::BIGINT AS first FROM flat UNION ALL SELECT w.k, w.part + 1, s.nxt FROM walk w JOIN steps s ON s.k = w.k AND s.first = w.first),
+parts AS (SELECT w.k, w.part, w.first, string_agg(f.text, chr(10) ORDER BY f.n) AS text FROM walk w JOIN nexts x ON x.k = w.k AND x.first = w.first JOIN flat f ON f.k = w.k AND f.n >= w.first AND f.n < x.last GROUP BY ALL),
+placed AS (SELECT q.*, p.doc, p.headings, p.start_char, row_number() OVER (PARTITION BY p.doc ORDER BY p.section_no, q.part) - 1 AS idx FROM parts q JOIN src p ON p.doc_id = q.k)
+SELECT p.doc AS doc_id, substring(p.doc::VARCHAR, 1, 12) || '_' || lpad(idx::VARCHAR, 4, '0') AS chunk_id, idx::INT AS chunk_index, p.text AS text, {tokens('p.text')}::INT AS token_count, p.headings AS headings,
+       (CASE WHEN {found} > 0 THEN p.start_char + {found} - 1 ELSE p.start_char END)::INT AS start_char, (CASE WHEN {found} > 0 THEN p.start_char + {found} - 1 ELSE p.start_char END + length(p.text))::INT AS end_char
+FROM placed p JOIN flat f ON f.k = p.k AND f.n = p.first JOIN documents d ON d.doc_id = p.doc"""
+
+
 def _keywords(x: str) -> str:
     stop = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
     kept = f"list_filter(regexp_extract_all({x}, '[a-zA-Z0-9_''-]+'), lambda t: NOT list_contains([{stop}], lower(t)) AND length(t) > 1)"
@@ -206,6 +230,7 @@ def sql() -> dict[str, str]:
                    CASE WHEN p.total + u.tokens <= 100 THEN p.part_no ELSE p.part_no + 1 END
             FROM packs p JOIN units u ON u.doc_id = p.doc_id AND u.unit_no = p.unit_no + 1)
           SELECT doc_id, part_no, string_agg(unit, chr(10) ORDER BY unit_no) AS text FROM packs GROUP BY doc_id, part_no""",
+        "chunk_overlap": _chunks(60, 12),
         "chunk_validate": f"WITH {_valid()} SELECT chunk_id, array_to_string(reasons, ',') AS reasons FROM final",
         "reject_histogram": f"WITH {_valid()} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM final) GROUP BY reason",
         "json_mentions": "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events",

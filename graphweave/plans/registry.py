@@ -151,6 +151,14 @@ def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "part_no", "text")
 
 
+@query
+def chunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the texts as they are: headings in front, oversized units cut, overlaps, ids and offsets."""
+    found = chunking.chunk(_documents(spark, sf), 60, 12, "doc_id")
+    headings = F.array_join("heading_hierarchy", " > ").alias("headings")
+    return found.select("doc_id", "chunk_id", "chunk_index", "text", "token_count", headings, "start_char", "end_char")
+
+
 @query
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The whole ingest to chunks: cleaned, cut at headings and sentences, packed with overlap, validated."""
