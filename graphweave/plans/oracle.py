@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphweave.functions.text import TOKEN
-from graphweave.operators import search
+from graphweave.operators import context, search
 from graphweave.operators.metadata import SMALL_WORDS
 
 WS = r"[\s\x0B\x{85}\pZ]"
@@ -195,6 +195,59 @@ sp AS (SELECT DISTINCT c, a FROM (SELECT c, unnest(aliases || [name]) AS a FROM
 resolved AS (SELECT c, top.key AS key, top.name AS name, top.type AS type, description, mentions, first, embedded FROM tops)"""
 
 
+def _context(budget: int = 2500) -> str:
+    """Every step of the flagship over resolved entities: vector, exact and fuzzy hits, their fusion, what is one edge away, and the
+    three parts of a context within the budget."""
+    entity, edge, chunk = (f"'{h}'" for h in (context.ENTITY_HEADER, context.EDGE_HEADER, context.CHUNK_HEADER))
+    parts = {"entity": (entity, "o0, o1, line", 4), "edge": (edge, "o0, o1, o2, line", 8)}
+    cut = "".join(
+        f"""{n}_cut AS (SELECT * FROM (SELECT *, row_number() OVER w AS n, coalesce(sum({tokens('line')}) OVER (PARTITION BY question_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM {n}_lines WHERE line IS NOT NULL WINDOW w AS (PARTITION BY question_id ORDER BY {order})) WHERE n <= {budget // least + 1} AND before < {budget}),
+{n}_part AS (SELECT question_id, {header} || chr(10) || string_agg(line, chr(10) ORDER BY {order}) AS part FROM {n}_cut GROUP BY question_id),
+"""
+        for n, (header, order, least) in parts.items()
+    )
+    return rf"""WITH RECURSIVE {CHUNKS}, {LINKS}, {EDGES}, {RESOLVED}, {SEEDS},
+forms AS (SELECT key, arg_max(name, (first, name)) AS name FROM (SELECT r.first, r.name, {name_key('sp.a')} AS key FROM sp JOIN resolved r USING (c)) WHERE key <> '' GROUP BY key),
+moved AS (SELECT rel_id, coalesce(s.name, source_entity) AS s, coalesce(t.name, target_entity) AS t, relation_type, description, extracted_at
+  FROM edges LEFT JOIN forms s ON s.key = {name_key('source_entity')} LEFT JOIN forms t ON t.key = {name_key('target_entity')}),
+fold AS (SELECT s, t, relation_type, list(description ORDER BY length(coalesce(description, '')) DESC, extracted_at, rel_id)[1] AS description, max((extracted_at, rel_id)) AS arrived FROM moved
+  WHERE s <> t AND s IN (SELECT name FROM resolved) AND t IN (SELECT name FROM resolved) GROUP BY s, t, relation_type),
+typed AS (SELECT s, {label('relation_type')} AS label, t, description FROM fold QUALIFY row_number() OVER (PARTITION BY s, {label('relation_type')}, t ORDER BY arrived DESC) = 1),
+emb AS (SELECT key, arg_min(embedding, entity_id) AS e, min(mc) AS first FROM (SELECT *, min(entity_id) OVER (PARTITION BY key) AS mc FROM m) WHERE len(embedding) > 0 GROUP BY key),
+ents AS (SELECT r.*, x.e AS embedding FROM resolved r LEFT JOIN (SELECT c, arg_min(emb.e, emb.first) AS e FROM mg JOIN emb USING (key) GROUP BY c) x USING (c)),
+qv AS (SELECT DISTINCT e.entity_id AS question_id, e.embedding::DOUBLE[] AS e FROM entities e SEMI JOIN seeds ON e.entity_id = seeds.question_id
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ev AS (SELECT first AS entity_id, name, embedding::DOUBLE[] AS e FROM ents
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+vector AS (SELECT q.question_id, v.name, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM qv q JOIN ev v ON len(q.e) = len(v.e)
+  QUALIFY row_number() OVER (PARTITION BY q.question_id ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.entity_id) <= 10),
+exact AS (SELECT DISTINCT v.question_id, r.name FROM vector v JOIN (SELECT r.name, lower(sp.a) AS key FROM sp JOIN resolved r USING (c)) r ON r.key = {strip('lower(v.name)')}),
+{_keyword_sql('seeds', 'question_id', 'question')},
+words AS (SELECT DISTINCT question_id, word FROM (SELECT question_id, {strip('lower(w)')} AS word FROM (SELECT question_id, unnest(keywords) AS w FROM keys)) WHERE length(word) >= 2),
+fuzzy AS (SELECT * FROM (SELECT DISTINCT q.question_id, r.name FROM words q JOIN (SELECT name, lower(concat_ws(chr(10), name, description)) AS text FROM ents) r ON contains(r.text, q.word))
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY name) <= 10),
+hits AS (SELECT question_id, name, round(max(g) * 0.6 + max(v) * 0.4, 6) AS score FROM (SELECT question_id, name, 1.0::DOUBLE AS g, 0.0::DOUBLE AS v FROM exact UNION ALL SELECT question_id, name, 0.7, 0.0 FROM fuzzy
+  UNION ALL SELECT question_id, name, 0.0, score FROM vector) GROUP BY question_id, name),
+near AS (SELECT DISTINCT question_id, name FROM (SELECT question_id, t AS name FROM hits JOIN typed ON s = name UNION ALL SELECT question_id, s FROM hits JOIN typed ON t = name)
+  WHERE (question_id, name) NOT IN (SELECT (question_id, name) FROM hits)),
+entity_lines AS (SELECT question_id, -score AS o0, r.name AS o1, '- ' || r.name || ' (' || coalesce(r.type, '') || '): ' || coalesce(r.description, '') AS line
+  FROM (SELECT * FROM hits UNION ALL SELECT question_id, name, 0.0 FROM near) h JOIN ents r ON r.name = h.name),
+edge_lines AS (SELECT DISTINCT question_id, s AS o0, t AS o1, label AS o2, '- ' || s || ' --[' || label || ']--> ' || t || CASE WHEN coalesce(description, '') <> '' THEN ': ' || description ELSE '' END AS line
+  FROM hits JOIN typed ON name = s OR name = t),
+{cut}both_parts AS (SELECT q.question_id, coalesce(a.part, {entity}) AS a, coalesce(b.part, {edge}) AS b FROM (SELECT DISTINCT question_id FROM seeds) q LEFT JOIN entity_part a USING (question_id) LEFT JOIN edge_part b USING (question_id)),
+room AS (SELECT *, greatest(0, {budget} - {tokens('a')} - {tokens('b')}) AS room FROM both_parts),
+found AS (SELECT DISTINCT h.question_id, chs.x AS chunk_id FROM hits h JOIN resolved r ON r.name = h.name JOIN chs USING (c) WHERE chs.x IN (SELECT chunk_id FROM chunks1)),
+wide AS (SELECT question_id, chunk_id, min(hop) AS hop FROM (SELECT question_id, chunk_id, 0 AS hop FROM found UNION ALL SELECT f.question_id, l.b, 1 FROM found f JOIN links l ON f.chunk_id = l.a
+  UNION ALL SELECT f.question_id, l.a, 1 FROM found f JOIN links l ON f.chunk_id = l.b) GROUP BY question_id, chunk_id),
+entry AS (SELECT w.question_id, w.chunk_id, w.hop, '[Chunk ' || w.chunk_id || '] (Source: ' || coalesce(c.file_hash, '') || '):' || chr(10) || c.text AS entry FROM wide w JOIN chunks1 c USING (chunk_id)),
+spent AS (SELECT *, sum({tokens('entry')}) OVER (PARTITION BY question_id ORDER BY hop, chunk_id ROWS UNBOUNDED PRECEDING) + {tokens(chunk)} AS spent FROM entry),
+passages AS (SELECT question_id, {chunk} || chr(10) || chr(10) || string_agg(entry, chr(10) || chr(10) ORDER BY hop, chunk_id) AS part FROM spent JOIN room USING (question_id) WHERE spent <= room GROUP BY question_id),
+whole AS (SELECT question_id, a || chr(10) || chr(10) || b || chr(10) || chr(10) || coalesce(part, {chunk}) AS text FROM room LEFT JOIN passages USING (question_id)),
+counted2 AS (SELECT *, {tokens('text')} AS n FROM whole)
+SELECT question_id, CASE WHEN n > {budget} THEN array_to_string(regexp_extract_all(text, '{WS}*(?:{TOKEN})')[1:{budget}], '') ELSE text END AS context, least(n, {budget})::INT AS tokens FROM counted2"""
+
+
 def _valid() -> str:
     b = strip("text")
     behind = f"CASE WHEN starts_with(body, '[') AND contains(body, ']' || chr(10)) THEN substring(body, position(']' || chr(10) IN body) + 2) ELSE body END"
@@ -297,5 +350,6 @@ def sql() -> dict[str, str]:
         "chunk_expand": f"""WITH {SEEDS}, {CHUNKS}, {PROVENANCE}, {LINKS}, found AS (SELECT DISTINCT question_id, chunk_id FROM seeds JOIN provenance ON name = entity_name),
             every AS (SELECT question_id, chunk_id, 0 AS hop FROM found UNION ALL SELECT question_id, b, 1 FROM found JOIN links ON chunk_id = a UNION ALL SELECT question_id, a, 1 FROM found JOIN links ON chunk_id = b)
           SELECT question_id, chunk_id, min(hop) AS hop FROM every GROUP BY question_id, chunk_id""",
+        "rag_context": _context(),
         "context_budget": f"WITH {CHUNKS}, s AS (SELECT file_hash, chunk_id, (sum({tokens('text')}) OVER (PARTITION BY file_hash ORDER BY chunk_id ROWS UNBOUNDED PRECEDING))::BIGINT + {tokens(chr(39) + '=== RELEVANT TEXT PASSAGES ===' + chr(39))} AS spent FROM chunks1) SELECT * FROM s WHERE spent <= 2500",
     }
