@@ -14,7 +14,7 @@ results, extra columns are ignored.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -299,7 +299,7 @@ def matches(documents: DataFrame, items: DataFrame) -> DataFrame:
     with the places of their first words."""
     items = _items(items)
     if not _few(items):
-        return _routed(documents, items)
+        return _by_row(items, lambda rows: _routed(documents, rows))
     rows = items.orderBy("item_id", "text").collect()
     tests, names = _tests(rows), ["doc_id", "item_id", "item_word", "doc_word", "words"]
 
@@ -311,6 +311,14 @@ def matches(documents: DataFrame, items: DataFrame) -> DataFrame:
     return _over_shards(documents, work, ", ".join(f"{n} bigint" for n in names)).distinct()
 
 
+def _by_row(items: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``find`` finds for each row of the items, by a hash of the row, since an id may have several texts."""
+    rows = items.withColumn("row", F.xxhash64("item_id", "text"))
+    found = find(rows.select(F.col("row").alias("item_id"), "text"))
+    named = found.withColumnRenamed("item_id", "row").join(rows.select("row", "item_id"), "row")
+    return named.select(*found.columns).distinct()
+
+
 def _routed(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``matches`` for any number of items: the hashes of ``RUN`` words in a row meet in a join, then those that follow each other
     on both sides are one match."""
@@ -342,7 +350,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id``: the documents that hold at least half of an item's words, with the item."""
     items = _items(items)
     if not _few(items):
-        return _routed_leaks(documents, items)
+        return _by_row(items, lambda rows: _routed_leaks(documents, rows))
     rows = items.orderBy("item_id", "text").collect()
     tests = _tests(rows)
 

@@ -48,7 +48,7 @@ def test_suffix_array_against_brute_force(letters, depth):
 def test_any_number_of_items_gives_the_same(spark, monkeypatch):
     draw = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(60)]
-    items = [(k, " ".join(draw.choice(vocabulary, 30))) for k in range(8)] + [(8, None), (9, ""), (10, "two words")]
+    items = [(k, " ".join(draw.choice(vocabulary, 30))) for k in range(8)] + [(8, None), (9, ""), (10, "two words"), (3, " ".join(draw.choice(vocabulary, 30)))]
     docs = []
     for d in range(40):
         parts = list(draw.choice(vocabulary, 50))
